@@ -11,5 +11,6 @@ def spark():
     from stowage.session import local_session
 
     s = local_session(4, 4)
+    s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
