@@ -100,7 +100,7 @@ class WordBpe:
             self.ids["\0" + t], self.shown["\0" + t] = i.to_bytes(4, "little"), t
         letters, numbers = _latin_letters(), _latin_numbers()
         tails = "'s|'t|'re|'ve|'m|'ll|'d"
-        self.ascii = re.compile(rf"{tails}|[a-z]+|[0-9]|[^\s\x1c-\x1fa-z0-9]+|[\x1c-\x1f]+(?:[^\sa-z0-9]|[\x1c-\x1f])*", re.A)
+        self.ascii = re.compile(rf"{tails}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.latin = re.compile(rf"{tails}|[a-z{letters}]+|[0-9{numbers}]|[^{_SPACE}a-z0-9{letters}{numbers}]+")
         import regex
 

@@ -5,11 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stowage.llm import bpe
+from stowage.llm import bpe, hostrank, mixing, qda, secrets, slots, warc
 from stowage.session import table
 
 
+def op1_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrank.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"target": F.round("target", 6), "position": F.round("position", 9)})
+
+
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = slots.shard(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
