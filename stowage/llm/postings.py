@@ -5,6 +5,7 @@ sample, so lists hold about as many vectors each; a vector near a boundary is re
 whose centroid is nearly as near as the nearest one. Centroids are searched by a graph held in memory:
 a beam search over each one's neighbours. A query reads the lists whose centroid is within a ratio of
 its nearest one's distance, at least ``LEAST_LISTS``, and ranks what they hold by exact inner products.
+The nearest lists are read first; of the others only what beats the k + 1st best of those goes on.
 
 Largest inner product becomes nearest by one more component, sqrt(M^2 - |x|^2) with M the largest norm,
 zero in queries. Equal vectors are one posting with their k + 1 smallest ids, which is all that any
@@ -30,11 +31,11 @@ from stowage.session import written
 
 K = 20
 #: Vectors a list should hold, lists at most, and the sample that places the centroids.
-LIST, MOST_LISTS, SAMPLE = 192, 4096, 16384
+LIST, MOST_LISTS, SAMPLE = 512, 4096, 16384
 #: A vector goes to lists whose centroid is at most so many times as far as the nearest one; of those to so many.
-CLOSE, COPIES = 1.08, 4
-#: A query reads lists up to this ratio, and at least so many.
-RATIO, LEAST_LISTS = 1.16, 8
+CLOSE, COPIES = 1.05, 2
+#: A query reads lists up to this ratio, and at least so many; the nearest few are read first.
+RATIO, LEAST_LISTS, FIRST = 1.16, 8, 3
 DEGREE, BEAM = 24, 96
 
 
@@ -173,10 +174,10 @@ def _rank(dimensions: int, k: int):
                 s = matrix(q.field("vec"), dimensions) @ matrix(p.field("vec"), dimensions).T
                 order = np.argsort(p_id, kind="stable")  # ties go to the smaller id
                 top = order[np.argsort(-s[:, order], 1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_key, top.shape[1])), pa.array(p_key[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel()), pa.array(p_id[top].ravel())],
-                    ["q_key", "p_key", "score", "rep"],
-                )
+                best = np.take_along_axis(s, top, 1)
+                good = best >= q.field("bar").to_numpy(zero_copy_only=False)[:, None]
+                rows = np.repeat(q_key, good.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(p_key[top][good]), pa.array(best[good]), pa.array(p_id[top][good])], ["q_key", "p_key", "score", "rep"])
 
     return run
 
@@ -211,11 +212,23 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     reading = written(asking.mapInArrow(lists("reads", ratio), schema), "reading")
     payload = ["key", "rep", "vec"]
     postings = packs(posted.select(F.explode("lists").alias("list"), *payload), "list", "postings", payload)
-    queries = packs(reading.select(F.explode("lists").alias("of_list"), *payload), "of_list", "queries", payload)
-    pairs = queries.join(postings, F.col("list") == F.col("of_list")).select("queries", "postings")
-    hits = pairs.mapInArrow(_rank(dim, k + 1), "q_key long, p_key long, score double, rep long").groupBy("q_key", "p_key").agg(F.max("score").alias("score"), F.min("rep").alias("rep"))
-    best = W.partitionBy("q_key").orderBy(F.desc("score"), "rep")
-    hits = written(hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1), "hits")
+
+    def hits_of(part: Column, bar: Column, asking: DataFrame) -> DataFrame:
+        """The k + 1 best of each query in a part of its lists, of those that reach the bar."""
+        queries = packs(asking.select(F.explode(part).alias("of_list"), *payload, bar.alias("bar")), "of_list", "queries", [*payload, "bar"])
+        pairs = queries.join(postings, F.col("list") == F.col("of_list")).select("queries", "postings")
+        return pairs.mapInArrow(_rank(dim, k + 1), "q_key long, p_key long, score double, rep long")
+
+    def best_of(hits: DataFrame) -> DataFrame:
+        once = hits.groupBy("q_key", "p_key").agg(F.max("score").alias("score"), F.min("rep").alias("rep"))
+        order = W.partitionBy("q_key").orderBy(F.desc("score"), "rep")
+        return once.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+
+    near = written(best_of(hits_of(F.slice("lists", 1, FIRST), F.lit(float("-inf")), reading)), "near")
+    bars = near.where(F.col("at") == k + 1).select(F.col("q_key").alias("b_key"), F.col("score").alias("least"))
+    later = reading.where(F.size("lists") > FIRST).join(bars, F.col("key") == F.col("b_key"), "left")
+    far = hits_of(F.slice("lists", FIRST + 1, MOST_LISTS), F.coalesce("least", F.lit(float("-inf"))), later)
+    hits = written(best_of(near.drop("at").union(far)), "hits")
     each = hits.join(vectors.select("key", "ids"), F.col("p_key") == F.col("key")).select("q_key", "score", F.explode("ids").alias("hit"))
     # at most (k + 1)^2 rows a query vector meet here
     lined = each.groupBy("q_key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "hit"))), 1, k + 1).alias("found"))
