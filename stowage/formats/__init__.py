@@ -1 +1,36 @@
+"""Parsers and writers of archive formats: bytes in, entries and payloads out. Nothing here knows Spark."""
 
+from __future__ import annotations
+
+from stowage.errors import ArchiveError, as_error
+from stowage.formats.containers import open_cab, open_deb, open_iso, open_msi
+from stowage.formats.model import Archive, Entry
+from stowage.formats.rar import open_rar
+from stowage.formats.sevenz import open_sevenz
+from stowage.formats.sniff import detect
+from stowage.formats.streams import STREAMS, open_stream
+from stowage.formats.tar import CODECS, open_tar
+from stowage.formats.zip import open_zip
+
+__all__ = ["Archive", "ArchiveError", "Entry", "detect", "open_archive"]
+
+
+def open_archive(data: bytes, path: str, password: str | None = None, kind: str | None = None) -> Archive:
+    """Opens by format, sniffed unless given; any failure is an ``ArchiveError``."""
+    kind = kind or detect(data, path)
+    try:
+        if kind in ("Zip", "Zipx"):
+            return open_zip(data, password, kind)
+        if kind in CODECS:
+            return open_tar(data, path, kind)
+        if kind in STREAMS:
+            return open_stream(data, path, kind)
+        if kind == "SevenZ":
+            return open_sevenz(data, password)
+        if kind == "Rar":
+            return open_rar(data, password)
+        if kind in ("Iso", "Cab", "Msi", "Deb"):
+            return {"Iso": open_iso, "Cab": open_cab, "Msi": open_msi, "Deb": open_deb}[kind](data)
+    except Exception as e:  # a parser's failure of any sort is a row, not the end of a job
+        raise as_error(e) from e
+    raise ArchiveError("UnsupportedFormat", "")
