@@ -4,7 +4,8 @@ Unit vectors at cosine c lie sqrt(2 - 2c) apart. Pivots partition the distinct v
 the cell of its nearest pivot, and is replicated to every cell that the triangle inequality does not
 exclude: if v is in cell i and |u - v| <= r, then |u - p_i| <= |u - p_home| + 2r, and u's projection
 onto the line between the two pivots lies within r of their bisecting plane. A cell then holds all
-partners of its own vectors, and cells are joined independently, in packs, by matrix products.
+partners of its own vectors, and cells are joined independently, in packs, by matrix products. Of two
+cells only one takes the other's vectors, by turns, and counts their links for both sides.
 
 Copies of a vector are one row with a count. A cell's links are counted and never emitted; of a pair of
 packs only a spanning forest goes on, at most one edge a vector, to the connected components.
@@ -60,12 +61,17 @@ def place_pivots(sample: np.ndarray, count: int, steps: int = 8) -> np.ndarray:
 
 
 def cells_of(u: np.ndarray, pivots: np.ndarray, gaps: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cells, and which cells each unit vector must be known to."""
+    """Home cells, and which cells each unit vector must be known to, its own among them.
+
+    A pair of cells meets in the lower one if the sum of their numbers is odd, else in the higher one.
+    """
     d = np.sqrt(np.maximum(2 - 2 * u @ pivots.T, 0))
     home = d.argmin(1)
     near = d[np.arange(len(u)), home][:, None]
     close = d <= near + 2 * radius + EPS
     close &= (d**2 - near**2) <= 2 * radius * gaps[home] + EPS
+    cell = np.arange(len(pivots))[None]
+    close &= (cell < home[:, None]) == ((cell + home[:, None]) % 2 == 1)
     close[np.arange(len(u)), home] = True
     return home, close
 
@@ -91,20 +97,21 @@ def _forest(linked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _join(dimensions: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        def parts(column: pa.Array, k: int) -> tuple[np.ndarray, ...]:
             rows = column.slice(k, 1).flatten()
-            key, rep, n, vec = (rows.field(f) for f in ("key", "rep", "n", "vec"))
-            return (*(x.to_numpy(zero_copy_only=False) for x in (key, rep, n)), _unit(matrix(vec, dimensions)))
+            key, rep, n, home, vec = (rows.field(f) for f in ("key", "rep", "n", "home", "vec"))
+            return (*(x.to_numpy(zero_copy_only=False) for x in (key, rep, n, home)), _unit(matrix(vec, dimensions)))
 
         for batch in batches:
             own_at, all_at = (batch.schema.get_field_index(c) for c in ("own", "members"))
             for k in range(batch.num_rows):
-                key, rep, _, x = parts(batch.column(own_at), k)
-                _, other, n, y = parts(batch.column(all_at), k)
+                key, rep, own_n, home, x = parts(batch.column(own_at), k)
+                other_key, other, n, other_home, y = parts(batch.column(all_at), k)
                 linked = x @ y.T >= cosine
-                count = linked @ n
-                has = count > 0
-                out = [(key[has], np.full(has.sum(), -1), count[has])]
+                out = []
+                for keys, count in ((key, linked @ n), (other_key, (own_n @ linked) * (other_home != home[0]))):
+                    has = count > 0
+                    out.append((keys[has], np.full(has.sum(), -1), count[has]))
                 ids = np.concatenate([rep, other])
                 for a, b in _forest(linked):
                     far = ids[a] != ids[b]
@@ -144,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     vec_type = vectors.schema["vec"].dataType.simpleString()
     placed = written(vectors.mapInArrow(assign, f"key long, rep long, n long, vec {vec_type}, home int, cells array<int>"), "placed")
-    payload = ["key", "rep", "n", "vec"]
+    payload = ["key", "rep", "n", "home", "vec"]
     mine = packs(placed.select(F.col("home").alias("cell"), *payload), "cell", "own", payload)
     theirs = packs(placed.select(F.explode("cells").alias("in_cell"), *payload), "in_cell", "members", payload)
     found = written(mine.join(theirs, F.col("cell") == F.col("in_cell")).select("own", "members").mapInArrow(_join(dim, cosine), "a long, b long, n long"), "found")

@@ -78,7 +78,7 @@ def test_cells_know_all_partners():
     p = rangejoin.place_pivots(x, 15)
     home, close = rangejoin.cells_of(u, p, np.sqrt(np.maximum(2 - 2 * p @ p.T, 0)), np.sqrt(0.2))
     a, b = np.nonzero(u @ u.T >= 0.9)
-    assert close[b, home[a]].all() and close.mean() < 0.9
+    assert (close[b, home[a]] | close[a, home[b]]).all() and close.mean() < 0.5
 
 
 def brute(ids, x, k, asks):
