@@ -142,7 +142,7 @@ def parse_size(text: Column) -> Column:
     unit = F.when(low.endswith("g"), 1 << 30).when(low.endswith("m"), 1 << 20).when(low.endswith("k"), 1 << 10).otherwise(1)
     digits = F.regexp_extract(low, r"^\+?([0-9]+)\s*[kmg]?$", 1)
     n = F.when(digits != "", digits).try_cast("decimal(38,0)") * unit.cast("decimal(12,0)")
-    return F.when(n < F.lit(1 << 64).cast("decimal(38,0)"), n.cast("decimal(20,0)"))
+    return F.when(n < F.lit(str(1 << 64)).cast("decimal(38,0)"), n.cast("decimal(20,0)"))
 
 
 # -- codes and labels ----------------------------------------------------------------------------

@@ -34,12 +34,15 @@ def totals(entries: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def root_layout(entries: DataFrame) -> DataFrame:
-    """``archive, layout, folder``: SingleFolder if the first entries all lie below one top component, else Flat."""
+def root_layout(entries: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """``archive, layout, folder``: SingleFolder if the first entries all lie below one top component, else Flat.
+
+    An archive without entries has no rows in ``entries``; it is Flat if ``archives`` names it in ``path``.
+    """
     first = entries.where((F.col("seq") >= 0) & (F.col("seq") < LAYOUT_ENTRIES))
     seen = first.select("archive", top_component(F.col("path")).alias("top"))
     tops = seen.groupBy("archive").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.bool_and(F.col("top").isNotNull()).alias("below"))
-    all_archives = entries.select("archive").distinct()
+    all_archives = entries.select("archive").distinct() if archives is None else archives.select(F.col("path").alias("archive")).distinct()
     single = F.coalesce(F.col("below") & (F.col("low") == F.col("high")) & (F.col("low") != ""), F.lit(False))
     return all_archives.join(tops, "archive", "left").select("archive", F.when(single, "SingleFolder").otherwise("Flat").alias("layout"), F.when(single, F.col("low")).alias("folder"))
 
@@ -137,8 +140,8 @@ def plan_extraction(entries: DataFrame, existing: DataFrame | None = None, polic
     if policy == "Rename":
         files = rows.where(~F.col("is_directory") & F.col("out_path").isNotNull())
         taken = existing.select("archive", "path") if existing is not None else None
-        named = rename_collisions(files, "out_path", ["seq"], ["archive"], taken, "_name").select(F.col("archive").alias("_a"), F.col("seq").alias("_s"), "_name")
-        rows = rows.join(named, (F.col("archive") == F.col("_a")) & (F.col("seq") == F.col("_s")), "left").withColumn("out_path", F.coalesce("_name", "out_path")).drop("_a", "_s", "_name")
+        named = rename_collisions(files, "out_path", ["seq"], ["archive"], taken, "_new").select(F.col("archive").alias("_a"), F.col("seq").alias("_s"), "_new")
+        rows = rows.join(named, (F.col("archive") == F.col("_a")) & (F.col("seq") == F.col("_s")), "left").withColumn("out_path", F.coalesce("_new", "out_path")).drop("_a", "_s", "_new")
         there = F.lit(False)
     else:
         first = F.row_number().over(W.partitionBy("archive", "out_path").orderBy("seq")) > 1

@@ -182,4 +182,6 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Registers the source, and lets filters reach it: without that setting Spark refuses a source that takes them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArchiveSource)

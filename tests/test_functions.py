@@ -13,8 +13,8 @@ from stowage.operators import archives as A
 
 
 def ask(spark, cases, schema, *columns):
-    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k long, " + schema)
-    return [tuple(r)[1:] for r in sorted(df.select("k", *columns).collect())]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "row long, " + schema)
+    return [tuple(r)[1:] for r in sorted(df.select("row", *columns).collect())]
 
 
 def one(spark, cases, schema, column):
@@ -92,7 +92,7 @@ def test_times(spark):
 
 
 def test_modes(spark):
-    cases = [(0o100644 << 16, "Windows", 0o644), (0o104755, "Unknown", 0o4755), (0o644, "Unix", 0o644), (0x20, "Windows", None), (0, "Unix", None), (0o10000, "Unix", None), ((0o120777 << 16) | 0x20, "Unix", 0o777)]
+    cases = [(0o100644 << 16, "Windows", 0o644), (0o104755, "Unknown", 0o4755), (0o644, "Unix", 0o644), (0x20, "Windows", None), (0, "Unix", None), (0o10000, "Unix", 0), ((0o120777 << 16) | 0x20, "Unix", 0o777)]
     assert one(spark, [c[:2] for c in cases], "a long, h string", V.unix_mode(F.col("a"), F.col("h"))) == [c[2] for c in cases]
     cases = [(0o4777, False, 0o755), (0o000, False, 0o600), (0o444, True, 0o744), (None, True, None)]
     assert one(spark, [c[:2] for c in cases], "m int, d boolean", V.effective_mode(F.col("m"), F.col("d"))) == [c[2] for c in cases]

@@ -76,7 +76,7 @@ def test_reports(spark):
 def test_layout(spark):
     wrap = lambda *names: Wr.write_tar([Wr.Item(n, None if n.endswith("/") else b"") for n in names])
     df = files(spark, one__tar=wrap("p/", "p/x", "p/q/y"), flat__tar=wrap("p/x", "y"), two__tar=wrap("p/x", "q/y"), none__tar=Wr.write_tar([]), bad__7z=b"7z\xbc\xaf\x27\x1c")
-    got = {r.archive: (r.layout, r.folder) for r in A.root_layout(src.entries(df)).collect()}
+    got = {r.archive: (r.layout, r.folder) for r in A.root_layout(src.entries(df), df).collect()}
     assert got == {"one.tar": ("SingleFolder", "p"), "flat.tar": ("Flat", None), "two.tar": ("Flat", None), "none.tar": ("Flat", None), "bad.7z": ("Flat", None)}
 
 
