@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.formats.streams import lz4_frame
@@ -228,11 +229,11 @@ _EXT_CASE = " ".join(f"when '{e}' then '{k}'" for e, k in D.EXTENSIONS.items())
 
 @query(
     f"with {NAMES_SQL}, h as (select *, ([" + ", ".join(f"'{m}'" for m, _ in D.MAGICS) + f", '00'])[o_orderkey % {len(D.MAGICS) + 1} + 1] as m from n), "
-    "f as (select *, regexp_extract(name, '([^/]*)/*$', 1) as last from h), e as (select *, case when regexp_matches(last, '^.+\\.[^.]*$') then lower(regexp_extract(last, '^.+\\.([^.]*)$', 1)) end as ext, regexp_extract(lower(last), '(tar\\.gz|tar\\.bz2|tar\\.xz|tar\\.zst|tar\\.lz4)$', 1) as both from f), "
+    "f as (select *, regexp_extract(name, '([^/]*)/*$', 1) as last from h), e as (select *, case when regexp_matches(last, '^.+\\.[^.]*$') then lower(regexp_extract(last, '^.+\\.([^.]*)$', 1)) end as ext, regexp_extract(lower(last), '(tar\\.gz|tar\\.bz2|tar\\.xz|tar\\.zst|tar\\.lz4)$', 1) as pair from f), "
     f"t as (select *, case {_MAGIC_CASE} end as tentative from e) "
-    "select o_orderkey, case when tentative is null then coalesce(case both when 'tar.gz' then 'TarGz' when 'tar.xz' then 'TarXz' end, case ext " + _EXT_CASE + " end, 'Unknown') "
-    "when tentative = 'Zip' and ext = 'zipx' then 'Zipx' when tentative = 'Gzip' and (both = 'tar.gz' or ext = 'tgz') then 'TarGz' when tentative = 'TarBz2' and ext = 'bz2' and both <> 'tar.bz2' then 'Bzip2' "
-    "when tentative = 'TarXz' and ext = 'xz' and both <> 'tar.xz' then 'Xz' when tentative in ('Msi', 'Deb') then case when ext = lower(tentative) then tentative else 'Unknown' end else tentative end as format from t"
+    "select o_orderkey, case when tentative is null then coalesce(case pair when 'tar.gz' then 'TarGz' when 'tar.xz' then 'TarXz' end, case ext " + _EXT_CASE + " end, 'Unknown') "
+    "when tentative = 'Zip' and ext = 'zipx' then 'Zipx' when tentative = 'Gzip' and (pair = 'tar.gz' or ext = 'tgz') then 'TarGz' when tentative = 'TarBz2' and ext = 'bz2' and pair <> 'tar.bz2' then 'Bzip2' "
+    "when tentative = 'TarXz' and ext = 'xz' and pair <> 'tar.xz' then 'Xz' when tentative in ('Msi', 'Deb') then case when ext = lower(tentative) then tentative else 'Unknown' end else tentative end as format from t"
 )
 def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signature and none under every name."""
@@ -309,12 +310,12 @@ def size_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select p_partkey, case p_size % 4 when 0 then p_size when 1 then p_size * 1024 when 2 then p_size * 1048576 else p_size * 1073741824 end::decimal(20,0) as bytes from (select p_partkey, cast(p_size as bigint) as p_size from part)"
+    "select p_partkey, case p_size % 4 when 0 then p_size when 1 then p_size * 1024 when 2 then p_size * 1048576 else p_size * 1073741824 end::bigint as bytes from (select p_partkey, cast(p_size as bigint) as p_size from part)"
 )
 def parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     text = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit(" g")), (F.col("p_size") % 4 + 1).cast("int")))
-    return p.select("p_partkey", V.parse_size(text).alias("bytes"))
+    return p.select("p_partkey", V.parse_size(text).cast("long").alias("bytes"))
 
 
 _KINDS = ["InvalidArgument", "Io", "WrongPassword", "Corrupted", "EntryNotFound", "UnsupportedFormat", "FeatureDisabled", "MissingVolume", "PathTraversalBlocked", "ZipBombSuspected", "BackendError", "Canceled", ""]
@@ -347,11 +348,12 @@ def output_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as entries of an archive an order."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").cast("string").alias("archive"), F.col("l_linenumber").cast("long").alias("seq"), F.round(F.col("l_extendedprice") * 100_000).cast("long").alias("uncompressed_size"), F.round(F.col("l_quantity")).cast("long").alias("compressed_size"))
+    seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_quantity")).cast("long")
+    return li.select(F.col("l_orderkey").cast("string").alias("archive"), seq.alias("seq"), F.round(F.col("l_extendedprice") * 100_000).cast("long").alias("uncompressed_size"), F.round(F.col("l_quantity")).cast("long").alias("compressed_size"))
 
 
 @query(
-    "with e as (select cast(l_orderkey as varchar) as archive, cast(l_linenumber as bigint) as seq, cast(round(l_extendedprice * 100000) as bigint) as u, cast(round(l_quantity) as bigint) as c from lineitem), "
+    "with e as (select cast(l_orderkey as varchar) as archive, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_quantity) as seq, cast(round(l_extendedprice * 100000) as bigint) as u, cast(round(l_quantity) as bigint) as c from lineitem), "
     "r as (select *, sum(u) over w as so_far, sum(c) over w as packed from e window w as (partition by archive order by seq rows unbounded preceding)) "
     "select archive, min(seq) as at from r where so_far > 17179869184 or (so_far >= 1073741824 and packed > 0 and so_far // packed > 100000000) group by 1"
 )

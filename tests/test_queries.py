@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def rows(df: pd.DataFrame) -> list:
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("~" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else str(v.item() if hasattr(v, "item") else v) for v in r))
+        out.append(tuple("~" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else str(v.item() if hasattr(v, "item") else v) for v in r))
     return sorted(out)
 
 
