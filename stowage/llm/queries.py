@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, hostrank, mixing, postings, qda, rangejoin, secrets, shinglejoin, slots, warc
+from stowage.llm import bpe, hostrank, mixing, oracles, postings, qda, rangejoin, secrets, shinglejoin, slots, warc
 from stowage.session import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
