@@ -5,10 +5,14 @@ any fixed order of shingles, two sets of similarity t or more share one of their
 so only prefixes are matched, and of a group only once. Shingles that many texts hold stand last in the
 order, so that passages and lines that unrelated documents share stay out of prefixes.
 
+A list of more than ``WIDE`` rows is taken up only for pairs that could be similar by wide lists alone: sets
+share a least part of their prefixes, one that holds fewer shingles of wide lists must meet its partner in a
+narrow list as well, and one of the shared shingles stands early in both.
+
 Whether two documents are in one component does not need all pairs of a group of near copies. First each
-group is verified against the two groups that it follows most often in the lists of its prefix shingles,
-sorted by size. Then the lists that still hold several components are taken up again, and every pair of
-members of different components that passes the size and position filters is verified. So no link
+group is verified against two groups that it meets most often in the lists of its prefix shingles. Then
+the lists that still hold several components are taken up again, and every pair of members of different
+components that passes the size filter and may share enough of its prefixes is verified. So no link
 between components is lost, and none within a component is needed.
 
 Shingles and words are 64-bit hashes; sets are compared in full. The order only steers the amount of
@@ -29,69 +33,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.llm.components import components
-from stowage.session import written
+from stowage.session import drop, written
 
 SIZE, PERCENT = 5, 75
 #: Texts (several in one task) that must hold a shingle for each step back in the order.
-FREQUENT = (24, 192, 1536, 12288)
+FREQUENT = (12, 96, 768, 6144)
 #: Bits of each bitmap of frequent shingles, and of the filter for the texts to be verified. A fuller map moves
 #: more shingles back, or lets more texts through; neither changes a result.
 MAP_BITS, TEXT_BITS = 22, 24
-#: Characters of text that are turned into shingles at once; words kept in a worker's cache.
-SLICE, CACHE = 4 << 20, 300_000
+#: Bytes of text that are turned into shingles at once.
+SLICE = 2 << 20
+#: Rows of a list from which it counts as wide.
+WIDE = 8
 #: Shingles that a task compares at once when it looks for frequent ones.
 CHUNK = 4 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-class _Words(dict):
-    """Word to 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _avalanche(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[1]
     h = (h ^ (h >> np.uint64(27))) * _MIX[2]
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes | None], size: int, cache: _Words) -> list[np.ndarray]:
-    """For each UTF-8 text its sorted distinct shingles."""
-    words = [(t or b"").lower().split() for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths)
-    w = np.fromiter((h for own in words for h in map(cache.__getitem__, own)), np.uint64, int(lengths.sum()))
-    if len(cache) > CACHE:
-        cache.clear()
-    h = np.full(max(len(w) - size + 1, 0), np.uint64(size))
-    for k in range(size):
-        h = _avalanche(h * _MIX[0] + w[k : k + len(h)])
-    h = h.view(np.int64)
-    out = []
-    for n, end in zip(lengths.tolist(), ends.tolist(), strict=True):
-        if n >= size:
-            out.append(np.unique(h[end - n : end - size + 1]))
-        elif n:
-            one = np.array([n], np.uint64)
-            for k in range(n):
-                one = _avalanche(one * _MIX[0] + w[end - n + k])
-            out.append(one.view(np.int64))
-        else:
-            out.append(np.empty(0, np.int64))
-    return out
+class Hasher:
+    """Words and shingles of many texts at once, as 64-bit hashes.
+
+    A word's hash is a polynomial of its bytes (each through a table of random numbers, A-Z as a-z), taken
+    as the difference of two running sums and divided by the power at its start; then mixed. Texts are
+    joined by blanks and cut at white space into stretches of about ``SLICE`` bytes.
+    """
 
+    def __init__(self, size: int):
+        self.size = size
+        rng = np.random.default_rng(20)
+        table = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        table[self.space] = 0
+        table[65:91] = table[97:123]
+        self.table = table
+        self.powers = self._powers(SLICE + 1, int(_MIX[0]))
+        self.inverse = self._powers(SLICE + 1, pow(int(_MIX[0]), -1, 1 << 64))
+
+    @staticmethod
+    def _powers(n: int, base: int) -> np.ndarray:
+        out = np.full(n, np.uint64(base))
+        out[0] = 1
+        return np.cumprod(out)
+
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the words of a stretch."""
+        n = len(data)
+        if n >= len(self.powers):  # one word longer than a stretch
+            self.powers = self._powers(n + 1, int(_MIX[0]))
+            self.inverse = self._powers(n + 1, pow(int(_MIX[0]), -1, 1 << 64))
+        gap = self.space[data]
+        edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
+        return _avalanche((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """For each UTF-8 text its sorted distinct shingles."""
+        sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+        data = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)
+        hashes, starts, at = [], [], 0
+        while at < len(data):
+            end = min(at + SLICE, len(data))
+            while end < len(data):
+                back = np.flatnonzero(self.space[data[at:end]])
+                if len(back):
+                    end = at + int(back[-1]) + 1
+                    break
+                end = min(end + SLICE, len(data))
+            h, s = self._words(data[at:end])
+            hashes.append(h)
+            starts.append(s + at)
+            at = end
+        w, start = np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *starts])
+        upto = np.searchsorted(start, np.cumsum(sizes))
+        h = np.full(max(len(w) - self.size + 1, 0), np.uint64(self.size))
+        for k in range(self.size):
+            h = h * _MIX[0] + w[k : k + len(h)]
+        h = _avalanche(h).view(np.int64)
+        out = []
+        for low, high in zip(np.concatenate([[0], upto[:-1]]).tolist() if len(upto) else [], upto.tolist(), strict=True):
+            n = high - low
+            if n >= self.size:
+                own = np.sort(h[low : high - self.size + 1])
+                keep = np.empty(len(own), bool)
+                keep[0] = True
+                np.not_equal(own[1:], own[:-1], out=keep[1:])
+                out.append(own[keep])
+            elif n:
+                one = np.array([n], np.uint64)
+                for x in w[low:high]:
+                    one = one * _MIX[0] + x
+                out.append(_avalanche(one).view(np.int64))
+            else:
+                out.append(np.empty(0, np.int64))
+        return out
 
-def prefix_length(n, percent: int = PERCENT):
-    return n - (percent * n + 99) // 100 + 1
+
+def prefix_length(n, percent: int = PERCENT, floor=int):
+    """How many elements of a set of ``n``, a number or a column, are its prefix."""
+    return n - floor((percent * n + 99) / 100) + 1
 
 
 def needed(n1, n2, percent: int = PERCENT):
@@ -112,10 +165,15 @@ class Order:
             out += (m[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.int8)
         return out
 
-    def prefix(self, h: np.ndarray, percent: int) -> np.ndarray:
-        p = prefix_length(len(h), percent)
-        levels = self.levels(h)
-        return h[np.argsort(levels, kind="stable")[:p]] if levels.any() else h[:p]
+    def prefixes(self, sets: list[np.ndarray], percent: int) -> tuple[list[np.ndarray], list[int]]:
+        """Of each set the first elements in the order, as many as similar sets must share one of; how many are not frequent."""
+        levels, out, rare, at = self.levels(np.concatenate([np.empty(0, np.int64), *sets])), [], [], 0
+        for h in sets:
+            own, p = levels[at : at + len(h)], prefix_length(len(h), percent) if len(h) else 0
+            out.append(h[np.argsort(own, kind="stable")[:p]] if own.any() else h[:p])
+            rare.append(min(p, len(h) - int(np.count_nonzero(own))))
+            at += len(h)
+        return out, rare
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None]]]:
@@ -143,7 +201,7 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
     """Looks at every shingle of every text: those that several texts of a stretch of a task hold are summed by count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n = _Words(), [], 0
+        hasher, held, n = Hasher(size), [], 0
 
         def flush() -> pa.RecordBatch:
             h = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
@@ -155,7 +213,7 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
 
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                for s in shingle_sets(texts, size, cache):
+                for s in hasher.sets(texts):
                     held.append(s)
                     n += len(s)
                 if n >= CHUNK:
@@ -170,54 +228,62 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, order: Order) -> DataFrame:
-    """``id, n, sig, gkey, prefix`` of every text; of equal groups in a task only the first carries its prefix."""
+    """``id, n, sig, gkey, rare, prefix`` of every text; of equal groups in a task only the first carries its prefix."""
     known = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, told = _Words(), set()
+        hasher, told = Hasher(size), set()
         for batch in batches:
             for at, texts in _slices(batch, 1):
-                sets = shingle_sets(texts, size, cache)
+                sets = hasher.sets(texts)
                 sigs, keys, prefixes = [], [], []
-                for h in sets:
-                    p = known.value.prefix(h, percent)
+                found, rare = known.value.prefixes(sets, percent)
+                for h, p in zip(sets, found, strict=True):
                     sigs.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     keys.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
                     prefixes.append(None if (keys[-1], len(h)) in told or not len(h) else p)
                     told.add((keys[-1], len(h)))
-                cols = [batch.column(0).slice(at, len(texts)), pa.array([len(h) for h in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "gkey", "prefix"])
+                cols = [batch.column(0).slice(at, len(texts)), pa.array([len(h) for h in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "gkey", "rare", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, sig binary, gkey long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, sig binary, gkey long, rare long, prefix array<long>")
 
 
 def _lists(sketch: DataFrame) -> DataFrame:
-    """``token, np, gkey, prev_np, prev_gkey``: prefix shingles that several groups share, with the group before by size.
+    """Prefix shingles that several groups share: ``token, np, gkey``, and of the list the group before and the first one.
 
-    ``np`` is the size times 2^32 plus the place in the prefix. The rows stream through each task in order;
-    a list is never held.
+    ``np`` is the size times 2^32 plus the place in the prefix. A list is sorted by how many shingles of the
+    prefix are not frequent, so that the first one, the hub, is the least edited of a family of near copies.
+    The rows stream through each task in order; a list is never held.
     """
-    rows = sketch.where("prefix is not null").select("gkey", "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "gkey")
-    rows = rows.repartition("token").sortWithinPartitions("token", "np", "gkey")
+    rows = sketch.select("gkey", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.select("token", "rare", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "gkey")
+    rows = rows.repartition("token").sortWithinPartitions("token", "rare", "np", "gkey").select("token", "np", "gkey")
+    names = ["token", "np", "gkey", "prev_np", "prev_gkey", "hub_np", "hub_gkey"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3  # the last row, not yet given out, and before it the one before, given out
+        hub = (None, 0, 0)
         context = 0
 
-        def give(cols: list[np.ndarray], upto: int, context: int) -> pa.RecordBatch:
+        def give(cols: list[np.ndarray], upto: int) -> pa.RecordBatch:
+            nonlocal hub
             token, place, key = cols
             same = np.concatenate([[False], token[1:] == token[:-1]])
+            first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+            hub_place, hub_key = place[first], key[first]
+            if token[0] == hub[0]:
+                hub_place[first == 0], hub_key[first == 0] = hub[1:]
+            hub = (token[upto - 1], hub_place[upto - 1], hub_key[upto - 1])
             shared = same | np.append(same[1:], False)
             shared[:context] = False
             shared[upto:] = False
             at = np.flatnonzero(shared)
             none = ~same[at]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(token[at]), pa.array(place[at]), pa.array(key[at]), pa.array(place[at - 1], mask=none), pa.array(key[at - 1], mask=none)],
-                ["token", "np", "gkey", "prev_np", "prev_gkey"],
-            )
+            idle = none | ((hub_place[at] == place[at - 1]) & (hub_key[at] == key[at - 1]))
+            cols = [pa.array(token[at]), pa.array(place[at]), pa.array(key[at]), pa.array(place[at - 1], mask=none), pa.array(key[at - 1], mask=none), pa.array(hub_place[at], mask=idle), pa.array(hub_key[at], mask=idle)]
+            return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
             cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
@@ -227,47 +293,72 @@ def _lists(sketch: DataFrame) -> DataFrame:
             again[:1] = False
             cols = [c[~again] for c in cols]
             if len(cols[0]) > context + 1:
-                yield give(cols, len(cols[0]) - 1, context)
+                yield give(cols, len(cols[0]) - 1)
                 context = 1
                 cols = [c[-2:] for c in cols]
             held = cols
         if len(held[0]):
-            yield give(held, len(held[0]), context)
+            yield give(held, len(held[0]))
 
-    return rows.mapInArrow(run, "token long, np long, gkey long, prev_np long, prev_gkey long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _may_reach(np1: str, np2: str, percent: int):
-    """Whether sets of these sizes that share a shingle at these places can be similar enough."""
-    n1, n2, p1, p2 = (f"shiftright({x}, 32)" if k < 2 else f"({x} & 4294967295L)" for k, x in enumerate((np1, np2, np1, np2)))
-    most = f"least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1"
-    least = f"floor(({percent} * ({n1} + {n2}) + {99 + percent}) / {100 + percent})"
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {most} >= {least}")
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are similar enough; only texts in pairs are turned into sets again."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << TEXT_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    filled = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(spot.alias("bit")), "bit", TEXT_BITS).get((), np.zeros(1 << (TEXT_BITS - 6), np.uint64)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, m = Hasher(size), filled.value
+        for batch in batches:
+            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+            own = batch.filter(pa.array((m[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            for k, texts in _slices(own, 2):
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(k, len(texts)), pa.array(hasher.sets(texts), pa.list_(pa.int64()))], ["id", "x"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar enough."""
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(left, "a").join(right, "b")
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).select("id", spot.alias("spot"), text_col)
+    sets = written(known.mapInArrow(run, f"id {kind}, x array<long>"), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     inter = F.size(F.array_intersect("x", "y"))
-    return both.where(inter * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    return written(both.where(inter * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct(), "links")
+
+
+def _least_shared(n1, n2, percent: int):
+    """The least intersection, as a column."""
+    return F.floor((percent * (n1 + n2) + 99 + percent) / (100 + percent))
+
+
+def _least_in_prefix(small, large, percent: int):
+    """Similar sets of these sizes share more than so many elements of their prefixes.
+
+    They share percent / (100 + percent) of both sizes' sum; of those at most percent / 100 of the larger
+    size stand behind the prefix that ends first.
+    """
+    return percent * ((small + large) / (100 + percent) - large / 100)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
-    spark = docs.sparkSession
-    sketch = written(_sketch(docs, id_col, text_col, size, percent, find_order(docs, text_col, size)), "sketch")
+    whole = written(_sketch(docs, id_col, text_col, size, percent, find_order(docs, text_col, size)), "whole")
+    lists = written(_lists(whole.where("prefix is not null and id is not null")), "lists")
+    sketch = written(whole.drop("prefix", "rare"), "sketch")
+    drop(docs.sparkSession, whole.inputFiles()[0].rsplit("/", 1)[0]) if not whole.isEmpty() else None
     some = sketch.where("n > 0 and id is not null")
     classes = written(some.groupBy("sig").agg(F.min("id").alias("sid"), F.max("n").alias("n"), F.max("gkey").alias("gkey")), "classes")
     member = classes.select("sid", F.col("n").alias("m_n"), F.col("gkey").alias("m_key"))
     groups = written(classes.groupBy("gkey", "n").agg(F.min("sid").alias("rep"), F.count("*").alias("members")), "groups")
     several = groups.where("members > 1").select(F.col("gkey").alias("s_key"), F.col("n").alias("s_n"))
-    lists = written(_lists(some.drop("sig")), "lists")
 
-    # First links: each group with the two groups that it follows most often, and a group's classes in a row.
-    size_of = F.shiftright("np", 32)
-    follows = lists.where(F.col("prev_np").isNotNull() & _may_reach("prev_np", "np", percent))
-    follows = follows.groupBy("gkey", size_of.alias("n"), F.col("prev_gkey").alias("p_key"), F.shiftright("prev_np", 32).alias("p_n")).count()
+    # First links: of the groups before it and the hubs of its lists, each group with the two that it meets most
+    # often, and a group's classes in a row. A pair that meets in too few lists is left to the second part.
+    size_of, place_of = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
+    n1, n2 = size_of("np"), size_of("o_np")
+    met = lists.select("gkey", "np", F.explode(F.array(*(F.struct(F.col(f"{x}_np").alias("np"), F.col(f"{x}_gkey").alias("gkey")) for x in ("prev", "hub")))).alias("o"))
+    met = met.select("gkey", "np", F.col("o.np").alias("o_np"), F.col("o.gkey").alias("o_gkey")).where(F.col("o_np").isNotNull() & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)))
+    follows = met.groupBy("gkey", n1.alias("n"), F.col("o_gkey").alias("p_key"), n2.alias("p_n")).count()
+    follows = follows.where(F.col("count") * 32 >= F.col("n"))
     rank = F.row_number().over(W.partitionBy("gkey", "n").orderBy(F.desc("count"), "p_n", "p_key"))
     follows = follows.withColumn("at", rank).where("at <= 2").drop("at", "count")
     first = groups.select(F.col("gkey").alias("p_key"), F.col("n").alias("p_n"), F.col("rep").alias("a"))
@@ -275,44 +366,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = member.join(several, (F.col("m_key") == F.col("s_key")) & (F.col("m_n") == F.col("s_n")), "left_semi")
     inner = inner.withColumn("before", F.lag("sid").over(W.partitionBy("m_key", "m_n").orderBy("sid"))).where("before is not null")
     pairs = written(pairs.union(inner.select("before", "sid")).where("a <> b").distinct(), "pairs")
-
-    # The sets of all classes that a list or a group may still pair.
-    listed = lists.select("gkey", size_of.alias("n")).distinct().toDF("l_key", "l_n").union(several).distinct()
-    wanted = member.join(listed, (F.col("m_key") == F.col("l_key")) & (F.col("m_n") == F.col("l_n")), "left_semi")
-    spot = F.pmod(F.xxhash64("sid"), F.lit(1 << TEXT_BITS))
-    bits = _bitmap(wanted.select(spot.alias("bit")), "bit", TEXT_BITS).get((), np.zeros(1 << (TEXT_BITS - 6), np.uint64))
-    filled = spark.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, m = _Words(), filled.value
-        for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            own = batch.filter(pa.array((m[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
-            for k, texts in _slices(own, 2):
-                yield pa.RecordBatch.from_arrays([own.column(0).slice(k, len(texts)), pa.array(shingle_sets(texts, size, cache), pa.list_(pa.int64()))], ["id", "x"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("sid"), spot.alias("spot"), text_col).mapInArrow(run, f"id {kind}, x array<long>")
-    sets = written(found, "sets")
-    links = written(_verified(pairs, sets, percent), "links")
+    links = _verified(pairs, docs, id_col, text_col, size, percent)
     roots = components(links)
 
     # All other links: the lists, and groups, that still hold several components.
     rooted = member.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "m_n", "m_key", F.coalesce("root", "sid").alias("comp"))
     rooted = written(rooted, "rooted")
-    rows = lists.select("token", "np", "gkey").join(rooted, (F.col("gkey") == F.col("m_key")) & (size_of == F.col("m_n"))).select("token", "np", "sid", "comp")
+    rows = lists.select("token", "np", "gkey").join(rooted, (F.col("gkey") == F.col("m_key")) & (size_of("np") == F.col("m_n"))).select("token", "np", "sid", "comp")
     within = rooted.join(several, (F.col("m_key") == F.col("s_key")) & (F.col("m_n") == F.col("s_n")), "left_semi")
-    rows = rows.union(within.select("m_key", F.shiftleft("m_n", 32), "sid", "comp"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
-    rows = written(rows.join(written(mixed, "mixed"), F.col("token") == F.col("t"), "left_semi"), "open")
-    here = rows.select("token", "comp").distinct()
-    across = here.toDF("token", "c1").join(here.toDF("token", "c2"), "token").where("c1 < c2")
-    one = rows.select("token", F.col("comp").alias("c1"), F.col("np").alias("np1"), F.col("sid").alias("a"))
-    two = rows.select("token", F.col("comp").alias("c2"), F.col("np").alias("np2"), F.col("sid").alias("b"))
-    rest = across.join(one, ["token", "c1"]).join(two, ["token", "c2"]).where(_may_reach("np1", "np2", percent)).select("a", "b").distinct()
-    rest = written(rest, "rest")
-    more = links.union(_verified(rest, sets, percent)) if not rest.isEmpty() else links
-    final = roots if rest.isEmpty() else components(more)
+    rows = rows.select("*", F.lit(False).alias("inner")).union(within.select("m_key", F.shiftleft("m_n", 32), "sid", "comp", F.lit(True)))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") > WIDE).alias("wide")).where("lo < hi")
+    rows = rows.join(written(mixed.select(F.col("token").alias("t"), "wide"), "mixed"), F.col("token") == F.col("t"))
+    rows = written(rows.select("token", size_of("np").alias("n"), place_of("np").alias("p"), "sid", "comp", "inner", (F.col("wide") & ~F.col("inner")).alias("wide")), "open")
+    held = rows.where("wide").groupBy(F.col("sid").alias("of")).agg(F.count("*").alias("e"))
+    rows = written(rows.join(held, F.col("sid") == F.col("of"), "left").select(*rows.columns, F.coalesce("e", F.lit(0)).alias("e")), "weighed")
+    here = rows.groupBy("token", "comp", "wide").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("p").alias("p"), F.max("e").alias("e"))
+    one, two = (here.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "wide", "least", "most", "p", "e"))) for k in (1, 2))
+    near = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+    enough = F.least("e1", "e2") >= _least_in_prefix(F.least("least1", "least2"), F.greatest("most1", "most2"), percent)
+    least = _least_shared(F.col("least1"), F.col("least2"), percent)
+    early = (F.col("p1") <= F.col("most1") - least) & (F.col("p2") <= F.col("most2") - least)
+    across = one.join(two.drop("wide2"), "token").where((F.col("comp1") < F.col("comp2")) & near & (~F.col("wide1") | (enough & early))).select("token", "comp1", "comp2")
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "n", "p", "sid", "inner", "wide", "e"))) for k in (1, 2))
+    n1, n2 = F.col("n1"), F.col("n2")
+    enough = F.least("e1", "e2") >= _least_in_prefix(F.least(n1, n2), F.greatest(n1, n2), percent)
+    near = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+    # sets that share m elements have one among the first n1 - m + 1 and n2 - m + 1
+    early = (F.col("p1") <= n1 - _least_shared(n1, n2, percent)) & (F.col("p2") <= n2 - _least_shared(n1, n2, percent))
+    met = across.join(one, ["token", "comp1"]).join(two.drop("wide2"), ["token", "comp2"]).where(near & (~F.col("wide1") | (enough & early)))
+    met = met.groupBy(F.col("sid1").alias("a"), F.col("sid2").alias("b"), n1, n2, F.least("e1", "e2").alias("e")).agg(F.count_if(~F.col("wide1")).alias("c"), F.bool_or(F.col("inner1") & F.col("inner2")).alias("inner"))
+    # All shared prefix shingles of narrow lists are counted here, those of wide ones are bounded. What else the sets
+    # share stands behind the prefix that ends first.
+    tail = lambda n: n - prefix_length(n, percent, F.floor)
+    most = F.col("c") + F.col("e") + F.greatest(tail(n1), tail(n2))
+    rest = written(met.where((most >= _least_shared(n1, n2, percent)) | F.col("inner")).select("a", "b").distinct(), "rest")
+    final = roots if rest.isEmpty() else components(links.union(_verified(rest, docs, id_col, text_col, size, percent)))
 
     told = classes.join(final, F.col("sid") == F.col("node"), "left").select(F.col("sig").alias("of"), F.coalesce("root", "sid").alias("component"))
     told = written(told, "told")

@@ -50,7 +50,8 @@ def corpus(seed, n=260):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(shinglejoin, "FREQUENT", (3, 9, 30))
+    monkeypatch.setattr(shinglejoin, "FREQUENT", ((3, 9, 30), (1000,), (2, 3))[seed])
+    monkeypatch.setattr(shinglejoin, "WIDE", (8, 2, 1)[seed])
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n string").repartition(1 + 3 * seed)
     got = {r.doc_id: r for r in shinglejoin.near_duplicates(df).collect()}
@@ -77,13 +78,27 @@ def test_bounds():
         assert shinglejoin.prefix_length(n1) == n1 - int(np.ceil(0.75 * n1)) + 1
 
 
+def test_hashes_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["Ab", "c", "dé", "x" * 50], k=rng.randint(0, 300))).encode() for _ in range(40)] + [None, b"y" * 900 + b" a b c d e f"]
+    want = [len(shingles(t and t.decode())) for t in texts]
+    whole = shinglejoin.Hasher(5).sets(texts)
+    assert [len(x) for x in whole] == want
+    monkeypatch.setattr(shinglejoin, "SLICE", 101)
+    cut = shinglejoin.Hasher(5)
+    assert all((a == b).all() for a, b in zip(whole, cut.sets(texts), strict=True))
+    assert all((a == cut.sets([t])[0]).all() for a, t in zip(whole, texts, strict=True))
+    assert shinglejoin.Hasher(5).sets([]) == []
+
+
 def test_groups_with_several_classes(spark):
     """Sets of one size with equal prefixes but different tails: told apart, and verified with each other."""
     order = shinglejoin.Order([])
     base = np.sort(np.random.default_rng(1).integers(-(2**62), 2**62, 40))
     other = base.copy()
     other[-1] += 1
-    assert (order.prefix(base, 75) == order.prefix(other, 75)).all()
+    (a, b), _ = order.prefixes([base, other], 75)
+    assert (a == b).all() and len(a) == shinglejoin.prefix_length(40)
     words = [f"t{k}" for k in range(44)]
     docs = [(k, " ".join([*words[:-1], f"end{k}"])) for k in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
