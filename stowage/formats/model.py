@@ -88,3 +88,17 @@ def file_time(ticks: int) -> dt.datetime | None:
     """FILETIME to whole seconds; null before 1970."""
     seconds = ticks // 10_000_000 - 11_644_473_600
     return unix_time(seconds) if seconds >= 0 else None
+
+
+def unix_mode(attributes: int, host_os: str) -> int | None:
+    """Permission bits of attributes, as ``functions.values.unix_mode`` finds them."""
+    for word in (attributes >> 16 & 0xFFFF, attributes):
+        if word & 0o170000:
+            return word & 0o7777
+    return attributes if host_os == "Unix" and 0 < attributes <= 0o7777 else None
+
+
+def disk_mode(entry: Entry, umask: int = 0o022) -> int | None:
+    """What is set on disk: no special bits, the umask off, the owner's access kept."""
+    mode = unix_mode(entry.attributes, entry.host_os)
+    return None if mode is None else mode & 0o777 & ~umask | (0o700 if entry.is_directory else 0o600)

@@ -24,6 +24,8 @@ RECOVERABLE = (
 )
 METHODS = {0: "Store", 8: "Deflate", 9: "Deflate64", 12: "Bzip2", 14: "Lzma", 93: "Zstd", 98: "Ppmd"}
 UNREADABLE = -1
+#: A link target of more bytes is none.
+LINK_BYTES = 4096
 
 
 def is_recoverable(e: ArchiveError) -> bool:
@@ -265,11 +267,18 @@ def open_lenient(data: bytes, password: str | None = None, kind: str = "Zip") ->
 
 def open_zip(data: bytes, password: str | None = None, kind: str = "Zip") -> Archive:
     try:
-        return open_strict(data, password, kind)
+        opened = open_strict(data, password, kind)
     except ArchiveError as e:
         if not is_recoverable(e):
             raise
-        return open_lenient(data, password, kind)
+        opened = open_lenient(data, password, kind)
+    for k, e in enumerate(opened.entries):
+        if e.is_symlink:  # the payload is the target
+            try:
+                e.link_target = opened.read(k, LINK_BYTES).decode("utf-8", "replace")
+            except ArchiveError as x:
+                opened.warnings.append(f"{e.path}: {x.message}")
+    return opened
 
 
 # -- spanned sets --------------------------------------------------------------------------------

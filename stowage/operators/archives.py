@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stowage.errors import ERROR, ArchiveError, as_error
 from stowage.formats import open_archive
+from stowage.formats.model import disk_mode
 from stowage.formats.write import Item, append_zip, write_archive
 from stowage.functions.paths import is_system_metadata, rename_collisions, resolve_output, symlink_fault, top_component
 from stowage.functions.values import BOMB_BYTES, BOMB_RATIO, exit_code, ratio_suspect
@@ -214,6 +215,8 @@ def extract(archives: DataFrame, dest: str, path_col: str = "path", content_col:
                             with filesystem.open_output_stream(target + ".part", compression=None) as f:
                                 f.write(payload)
                             filesystem.move(target + ".part", target)
+                        if isinstance(filesystem, fs.LocalFileSystem) and action != "skip":
+                            _restore(target, a.entries[step["seq"]], action)
                     except (ArchiveError, OSError) as e:
                         error, action = as_error(e).row(), "fail"
                     rows.append((name, step["seq"], action, step["out_path"], size, error))
@@ -225,6 +228,23 @@ def extract(archives: DataFrame, dest: str, path_col: str = "path", content_col:
     return written(work.mapInArrow(run, f"archive string, seq long, action string, out_path string, bytes long, error {ERROR}"), "extracted")
 
 
+def _restore(target: str, entry, action: str) -> None:
+    """Link, mode and time on a local disk; other file systems have none of them."""
+    import os
+
+    if action == "link":
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        if os.path.lexists(target):
+            os.remove(target)
+        os.symlink(entry.link_target, target)
+        return
+    mode = disk_mode(entry)
+    if mode is not None:
+        os.chmod(target, mode)
+    if entry.modified is not None and action == "write":
+        os.utime(target, (entry.modified.timestamp(),) * 2)
+
+
 def folder_of(name: str) -> str:
     """The folder that an archive is extracted to: its own name without archive extensions."""
     base = name.rstrip("/").rsplit("/", 1)[-1]
@@ -266,6 +286,15 @@ def create(items: DataFrame, kind: str = "Zip", level: int = 6, password: str |
     return rows.mapInArrow(run, f"path string, content binary, entries long, error {ERROR}")
 
 
+def create_verified(items: DataFrame, kind: str = "Zip", **options) -> DataFrame:
+    """``create``, each archive opened again and tested: adds ``tested, corrupted``. The archives are written once, to be read twice."""
+    from stowage.session import written
+
+    made = written(create(items, kind, **options), "made")
+    report = test_report(verify(made.where("content is not null"), password=options.get("password"))).select(F.col("archive").alias("_a"), "tested", "corrupted")
+    return made.join(report, F.col("path") == F.col("_a"), "left").drop("_a")
+
+
 def batch_create(items: DataFrame, kind: str = "Zip", **options) -> DataFrame:
     """One archive for each top component of the items' paths, named after it."""
     from stowage.functions.values import PRIMARY_EXTENSIONS
@@ -378,6 +407,18 @@ def split_sets(files: DataFrame, path_col: str = "path") -> DataFrame:
     return sets.where(F.size("volumes") >= 2)
 
 
+def read_sets(spark: SparkSession, root: str, content: bool = False, password: str | None = None) -> DataFrame:
+    """Entries of the volume sets below a folder: raw pieces are joined, spanned ZIPs get whole offsets."""
+    from stowage.sources.archive import entries, join_volumes
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    sets = split_sets(files.select("path")).select("kind", "stem", F.posexplode("volumes").alias("index", "volume"))
+    volumes = files.select("path", "content").join(sets, F.col("path") == F.col("volume"))
+    name = F.when(F.col("kind") == "Spanned", F.concat("stem", F.lit(".zip"))).otherwise(F.col("stem"))
+    joined = join_volumes(volumes.select(name.alias("set"), "index", "content"), spanned=True)
+    return entries(joined.where("error is null"), content=content, password=password)
+
+
 def destination(archive_path: Column, layout: Column) -> Column:
     """Smart extraction: in place for a single root folder, else below a folder of the archive's own name."""
     here = F.regexp_replace(archive_path, r"[^/]*$", "")

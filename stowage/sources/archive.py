@@ -7,15 +7,18 @@ if asked for. An archive that cannot be opened is one row with ``seq`` -1 and it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from stowage.errors import ERROR, ArchiveError, as_error
 from stowage.formats import Archive, Entry, open_archive
+from stowage.formats.write import Item, write_archive
 from stowage.formats.zip import join_spanned
 
 #: The entry schema: metadata of one entry, its place in the archive, and what went wrong.
@@ -164,8 +167,71 @@ class _ArchiveReader(DataSourceReader):
         yield from entry_batches(p, data, o.get("password"), o.get("includecontent", "false").lower() == "true", int(o.get("limit", CONTENT_LIMIT)), o.get("kind"))
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class _ArchiveWriter(DataSourceArrowWriter):
+    """Items of ``operators.archives.create`` as archive files: staged by tasks, moved into place by the commit.
+
+    Rows of an archive must lie together in one partition, in order; a failed job leaves no archive.
+    """
+
+    def __init__(self, options: dict, names: list[str]):
+        self.options, self.names = options, names
+
+    def _place(self):
+        from pyarrow import fs
+
+        base = self.options["path"]
+        return fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (fs.LocalFileSystem(), base)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        filesystem, root = self._place()
+        filesystem.create_dir(root, recursive=True)
+        o, staged, name, held, seen = self.options, [], None, [], set()
+
+        def done() -> None:
+            if name in seen:
+                raise ArchiveError("InvalidArgument", f"rows of {name} do not lie together")
+            seen.add(name)
+            data = write_archive(held, o.get("kind", "Zip"), int(o.get("level", "6")), o.get("password"))
+            path = f"{root}/{name}.{uuid.uuid4().hex}.part"
+            filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with filesystem.open_output_stream(path, compression=None) as f:
+                f.write(data)
+            staged.append(path)
+
+        for batch in iterator:
+            for r in batch.to_pylist():
+                if r["archive"] != name:
+                    if name is not None:
+                        done()
+                    name, held = r["archive"], []
+                held.append(Item(r["path"], r["payload"], r.get("modified"), r.get("mode")))
+        if name is not None:
+            done()
+        return _Written(staged)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        filesystem, _ = self._place()
+        for m in messages:
+            for path in m.files if m else []:
+                filesystem.move(path, path.rsplit(".", 2)[0])
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        filesystem, _ = self._place()
+        for m in messages:
+            for path in m.files if m else []:
+                filesystem.delete_file(path)
+
+
 class ArchiveSource(DataSource):
-    """``spark.read.format("archive").option("includeContent", ...).load(path)``: a partition a file."""
+    """``spark.read.format("archive").option("includeContent", ...).load(path)``: a partition a file.
+
+    ``df.write.format("archive").option("kind", ...).mode("append").save(path)`` writes items as archives.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -180,6 +246,9 @@ class ArchiveSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ArchiveReader(self._options())
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _ArchiveWriter(self._options(), [f.name for f in schema.fields])
+
 
 def register(spark: SparkSession) -> None:
     """Registers the source, and lets filters reach it: without that setting Spark refuses a source that takes them."""

@@ -168,3 +168,44 @@ def test_save_and_tree(spark, tmp_path):
     assert [r.bytes for r in saved] == [os.path.getsize(tmp_path / "out/t.zip")]
     rows = src.read_archives(spark, str(tmp_path / "out"), content=True).collect()
     assert {r.path: bytes(r.content) for r in rows} == {"pre/sub/a.txt": b"A", "pre/b.txt": b"B"}
+
+
+def test_writer(spark, tmp_path):
+    src.register(spark)
+    rows = [(f"x{k % 2}.tar", k, f"f{k}", bytearray(b"%d" % k)) for k in range(6)] + [("sub/y.tar", 0, "q", bytearray(b"9"))]
+    items = spark.createDataFrame(rows, "archive string, seq long, path string, payload binary")
+    items.repartition("archive").sortWithinPartitions("archive", "seq").write.format("archive").option("kind", "Tar").mode("append").save(str(tmp_path / "o"))
+    assert sorted(p.relative_to(tmp_path / "o").as_posix() for p in (tmp_path / "o").rglob("*.*")) == ["sub/y.tar", "x0.tar", "x1.tar"]
+    assert src.read_archives(spark, str(tmp_path / "o")).count() == 7
+    with pytest.raises(Exception, match="FeatureDisabled|cannot be created"):
+        items.coalesce(1).sortWithinPartitions("archive").write.format("archive").option("kind", "Rar").mode("append").save(str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
+
+
+def test_links_modes_times(spark, tmp_path):
+    import datetime as dt
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, kind, link, mode in (("d/f", tarfile.REGTYPE, "", 0o4755), ("d/l", tarfile.SYMTYPE, "f", 0o777), ("d/out", tarfile.SYMTYPE, "../../x", 0o777), ("d/h", tarfile.LNKTYPE, "d/f", 0o600)):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname, info.mode, info.mtime, info.size = kind, link, mode, 631152000, 4 if kind == tarfile.REGTYPE else 0
+            t.addfile(info, io.BytesIO(b"data"))
+    got = {r.out_path: r.action for r in A.extract(files(spark, a__tar=out.getvalue()), str(tmp_path), follow_symlinks=True).collect()}
+    assert got == {"d/f": "write", "d/l": "link", "d/out": "skip", "d/h": "write"}
+    f = tmp_path / "a/d/f"
+    assert os.readlink(tmp_path / "a/d/l") == "f" and (tmp_path / "a/d/h").read_bytes() == b"data"
+    assert f.stat().st_mode & 0o7777 == 0o755 and dt.datetime.fromtimestamp(f.stat().st_mtime, dt.timezone.utc).year == 1990
+
+
+def test_sets_and_verified(spark, tmp_path):
+    whole = Wr.write_archive(ITEMS)
+    for k in range(0, len(whole), 400):
+        (tmp_path / f"x.zip.{k // 400 + 1:03}").write_bytes(whole[k : k + 400])
+    (tmp_path / "lone.zip").write_bytes(whole)
+    assert A.read_sets(spark, str(tmp_path)).count() == 4
+    rows = [("v.zip", 0, "a", bytearray(b"1"), None, None), ("v.zip", 1, "b", bytearray(b"2"), None, None)]
+    made = A.create_verified(spark.createDataFrame(rows, "archive string, seq long, path string, payload binary, modified timestamp, mode int")).collect()
+    assert [(r.path, r.tested, r.corrupted) for r in made] == [("v.zip", 2, 0)]
