@@ -87,18 +87,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     row = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []
     base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), key.alias("key"), *row)
-    base = base.withColumn("range", F.substring("key", 1, DIGITS))
+    # a name that is never null: null-safe equality would deal the rows out once more for the join
+    base = base.withColumns({"range": F.substring("key", 1, DIGITS), "group": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
     if not keep:
         base = written(base, "sizes")  # small: the text is counted once
-    ranges = base.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = base.groupBy("source", "group", "range").agg(F.sum("size").alias("range_size"))
     ranges = written(ranges, "ranges")
     of_source = written(targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most), "targets")
-    ahead = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy("group").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
-    starts = starts.join(of_source, starts.source.eqNullSafe(of_source.source)).select(starts.source.alias("s"), F.col("range").alias("r"), "range_start", "turn", "source_size", "target")
-    inside = W.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.join(of_source, starts.source.eqNullSafe(of_source.source)).select(F.col("group").alias("g"), F.col("range").alias("r"), "range_start", "turn", "source_size", "target")
+    inside = W.partitionBy("group", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = base.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(starts, rows.source.eqNullSafe(starts.s) & (rows.range == starts.r))
+    rows = rows.join(starts, (F.col("group") == F.col("g")) & (F.col("range") == F.col("r")))
     start, size, all_words = F.col("range_start") + F.col("before"), F.col("size"), F.col("source_size")
     goal = F.round("target").cast("long")
     whole = F.coalesce(F.floor(F.try_divide(goal, all_words)), F.lit(0)).cast("long")
