@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import bpe, mixing, qda, secrets, shinglejoin
-from stowage.session import scratch, table
+from stowage.session import scratch, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,9 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only ids are shuffled to decide; ids to drop are few next to texts, and a bounded broadcast is Spark's choice."""
+    """The ids to drop are written first, so that Spark knows their size: few are sent to all tasks, and texts stay where they are."""
     found = shinglejoin.near_duplicates(docs)
     copies = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+    copies = written(copies, "copies")
     return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
 
 
