@@ -87,5 +87,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     scores = propagate(seeds, host_edges(pages, url_col, html_col), damping)
     bad = (F.col("distrust") >= threshold * (1 - damping)) & (F.col("distrust") > F.col("trust"))
     scores = scores.select(F.col("host").alias("of"), "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("by_graph"))
+    scores = written(scores, "scores")  # its size is known when the join is planned: a small one spares the pages an exchange
     joined = base.join(scores, base.host == scores.of, "left")
     return joined.select(id_col, "host", "path", "rule", F.coalesce("ruled", "by_graph", F.lit("allow")).alias("verdict"), "trust", "distrust")
