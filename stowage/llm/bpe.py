@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.memory import release
+
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Failing words up to so many bytes are merged together, a step at a time; longer ones by a heap each.
 SHORT = 48
 _NEVER = np.int64(1) << 40
@@ -95,9 +97,8 @@ class WordBpe:
         self._plant()
         self.reachable = self._reachable()
         self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
         for t, i in self.special.items():
-            self.ids["\0" + t], self.shown["\0" + t] = i.to_bytes(4, "little"), t
+            self.ids["\0" + t] = i.to_bytes(4, "little")
         letters, numbers = _latin_letters(), _latin_numbers()
         tails = "'s|'t|'re|'ve|'m|'ll|'d"
         self.ascii = re.compile(rf"{tails}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -293,9 +294,9 @@ class WordBpe:
         order = np.argsort(of_all, kind="stable")
         ids = np.concatenate(tokens)[order].astype("<u4")
         stops = np.cumsum(np.bincount(of_all, minlength=len(new))).tolist()
-        packed, names, at = ids.tobytes(), list(map(self.token.__getitem__, ids.tolist())), 0
+        packed, at = ids.tobytes(), 0
         for w, to in zip(new, stops, strict=True):
-            self.ids[w], self.shown[w] = packed[4 * at : 4 * to], " ".join(names[at:to])
+            self.ids[w] = packed[4 * at : 4 * to]
             at = to
         return len(bad)
 
@@ -316,20 +317,19 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return (self.latin if max(text) < "ɐ" else self.any).findall(text)
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """For each text its ids as little-endian 32-bit integers, and the decoded text."""
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian 32-bit integers."""
         cut = [self.words(t or "") for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self.ids = {k: v for k, v in self.ids.items() if k[:1] == "\0" and k[1:] in self.special}
-            self.shown = {k: self.shown[k] for k in self.ids}
         self.learn({w for c in cut for w in c})
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
+        ids = self.ids.__getitem__
         for c in cut:
-            yield b"".join(map(ids, c)), " ".join(map(shown, c))
+            yield b"".join(map(ids, c))
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks: the file names no decoder."""
-        return " ".join(self.token[i] for i in ids)
+        return " ".join(map(self.token.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -337,17 +337,11 @@ def model(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of about ``limit`` characters, so that memory follows the text and not the row count."""
-    at = size = 0
-    texts = batch.column(column).to_pylist()
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
+def _slices(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in small parts, each with its texts: only a part is held as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, part.column(column).to_pylist()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -359,9 +353,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         bpe = model(tokenizer_path(tokenizer))
         for batch in batches:
             for part, texts in _slices(batch, 1):
-                ids = [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in bpe.encode(texts)]
+                ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in bpe.encode(texts)]
                 n = pa.array([len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.list_(pa.int32()))], names)
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -375,12 +370,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         bpe = model(tokenizer_path(tokenizer))
         for batch in batches:
             for part, texts in _slices(batch, 1):
-                rows = [
-                    (len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest())
-                    for b, d in bpe.encode(texts)
-                ]
+                rows = [(len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(b, "<u4").tolist()).encode("utf-8", "replace")).hexdigest()) for b in bpe.encode(texts)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

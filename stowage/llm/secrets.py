@@ -23,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.memory import release
+from stowage.session import written
+
 #: Words in the dictionary at most (a fixed size; what is broadcast stays under 2 MB), and how often each must occur.
 DICTIONARY, LEAST_COUNT = 30_000, 8
 #: Bits that the cheapest segmentation of a value must cost.
 MIN_BITS = 44.0
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 250_000
+#: Steps of the scale of word counts for each factor of e.
+STEPS_A_LOG = 64
 #: Longest walk, and longest repeat with all its shorter forms, in the segmentation.
 SPAN = 32
 
@@ -147,7 +152,10 @@ def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
-    """The corpus' ``size`` most frequent words (lower case, 3 to 24 letters) by rank, counted over all texts."""
+    """The corpus' most frequent words (lower case, 3 to 24 letters) by rank, counted over all texts.
+
+    At most ``size``: all words whose count reaches the least step of a fine logarithmic scale that leaves no more.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -163,10 +171,21 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY,
                 if len(seen) > FLUSH:
                     yield flush()
         yield flush()
+        release()
 
     counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {r.word: k for k, r in enumerate(top)}
+    counts = written(counts.where(F.col("n") >= least), "words")
+    # from which count on there are no more than ``size`` words: by a short histogram of counts, so that no task
+    # sends more than its part of the dictionary
+    step = F.floor(F.log("n") * STEPS_A_LOG)
+    bar, held = None, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > size:
+            break
+        bar = r.step
+    top = counts.where(step >= bar).collect() if bar is not None else []
+    return {r.word: k for k, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)))}
 
 
 def _scan(docs: DataFrame, names: list[str], schema: str, row, min_bits: float, ranks: dict[str, int] | None, text_col: str) -> DataFrame:
@@ -180,6 +199,7 @@ def _scan(docs: DataFrame, names: list[str], schema: str, row, min_bits: float,
                 part = batch.slice(k, 512)
                 rows = [row(t or "", spans(t or "", known.value, min_bits)) for t in part.column(at).to_pylist()]
                 yield from row.batch(part, rows)
+        release()
 
     return docs.select(*names).mapInArrow(run, schema)
 

@@ -38,6 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.llm.components import components
+from stowage.llm.memory import release
 from stowage.session import drop, written
 
 SIZE, PERCENT = 5, 75
@@ -47,7 +48,7 @@ FREQUENT = (12, 96, 768, 6144)
 #: more shingles back, or lets more texts through; neither changes a result.
 MAP_BITS, TEXT_BITS = 22, 24
 #: Bytes of text that are turned into shingles at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Rows of a list from which it counts as wide.
 WIDE = 8
 #: Shingles that a task compares at once when it looks for frequent ones.
@@ -176,16 +177,10 @@ class Order:
         return out, rare
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None]]]:
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    at = total = 0
-    for k, t in enumerate(texts):
-        total += len(t or b"")
-        if total >= SLICE:
-            yield at, texts[at : k + 1]
-            at, total = k + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+def _slices(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[tuple[int, list[bytes | None]]]:
+    """A batch's texts in small parts, with where each begins: only a part is held as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield at, batch.column(column).slice(at, rows).cast(pa.binary()).to_pylist()
 
 
 def _bitmap(rows: DataFrame, bit: str, bits: int, *by: str) -> dict[tuple, np.ndarray]:
@@ -204,12 +199,11 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
         hasher, held, n = Hasher(size), [], 0
 
         def flush() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
+            h = np.concatenate([np.empty(0, np.int64), *held])
             held.clear()
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            count = np.diff(np.append(starts, len(h)))
-            some = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(h[starts[some]]), pa.array(count[some])], ["h", "n"])
+            h.sort()
+            again, count = np.unique(h[1:][h[1:] == h[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(again), pa.array(count + 1)], ["h", "n"])
 
         for batch in batches:
             for _, texts in _slices(batch, 0):
@@ -220,6 +214,7 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
                     yield flush()
                     n = 0
         yield flush()
+        release()
 
     seen = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT[0])
     level = sum((F.col("n") >= least).cast("int") for least in FREQUENT)
@@ -245,6 +240,8 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                     told.add((keys[-1], len(h)))
                 cols = [batch.column(0).slice(at, len(texts)), pa.array([len(h) for h in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "gkey", "rare", "prefix"])
+        del hasher, told
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, sig binary, gkey long, rare long, prefix array<long>")
@@ -317,6 +314,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
             own = batch.filter(pa.array((m[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
             for k, texts in _slices(own, 2):
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(k, len(texts)), pa.array(hasher.sets(texts), pa.list_(pa.int64()))], ["id", "x"])
+        del hasher
+        release()
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).select("id", spot.alias("spot"), text_col)
     sets = written(known.mapInArrow(run, f"id {kind}, x array<long>"), "sets")

@@ -14,9 +14,9 @@ HARD = ["", " ", "I'LL can't don'tstop", "<|endoftext|>x<|startoftext|> <|other|
 
 
 def same(texts):
-    for text, (ids, shown), want in zip(texts, OWN.encode(texts), LIB.encode_batch(texts, add_special_tokens=False), strict=True):
+    for text, ids, want in zip(texts, OWN.encode(texts), LIB.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
-        assert shown == LIB.decode(want.ids, skip_special_tokens=False) == OWN.decode(want.ids)
+        assert LIB.decode(want.ids, skip_special_tokens=False) == OWN.decode(want.ids)
 
 
 def test_hard_texts():
