@@ -43,8 +43,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # of AKIA[A-Z0-9]+ those of 18 charac
 HEX = re.compile(r"[0-9a-f]{16,}")  # of [0-9a-f]+ those of 16 characters or more
 KINDS = ("assign", "access", "hex", "guess")
 
+# A key's name may go on before the word (DB_PASSWORD, clientSecret) and after it in parts of its own (SECRET_ACCESS_KEY,
+# tokenValue, password2); the parts are bounded and not tried again in other cuts, so that the work stays linear.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|auth(?:orization)?|login)["']?"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|auth(?:orization)?|login)"""
+    r"""(?:[_-]?[0-9]{1,8}+|[_-][a-z0-9]{1,32}+|(?-i:[A-Z][a-z0-9]{1,32}+)){0,6}+["']?"""
     r"""[\x20\t]{0,8}(?:=>|:=|[:=]|\bis\b)[\x20\t]{0,8}(?:bearer[\x20\t]+)?["'`]?([^\s"'`<>]{8,})""",
     re.A | re.I,
 )

@@ -91,6 +91,20 @@ def test_base_spans(spark):
     assert secrets.digest(df.limit(0)).count() == 0
 
 
+NAMES = ["DB_PASSWORD=", "client_secret: ", "dbPassword = ", "AWS_SECRET_ACCESS_KEY=", '"clientSecret": "', "PGPASSWORD=", "dbpass: ", "secretAccessKey=", "API_KEY_V2 = ", "password2 = ", "oauth_token_value: ", "password: "]
+
+
+def test_names_of_credentials():
+    """Words before and after the credential word do not hide a value; prose and longer words stay."""
+    for name in NAMES:
+        text = f"x {name}Xk9$mQ2!zR7 y"
+        at = text.index("Xk9")
+        assert (at, 3, at + 11, at) in secrets.spans(text, {}), name
+    for text in ("secretary: Xk9$mQ2!zR7", "the passage Xk9$mQ2!zR7", "tokenizer=Xk9$mQ2!zR7", "a token of Xk9$mQ2!zR7"):
+        assert secrets.spans(text, {}) == [], text
+    assert secrets.spans("secret_" * 30000 + "aB" * 30000, {}) == []
+
+
 def test_guess_bits_is_the_least(spark):
     """Against all segmentations of short values, by recursion with the same span costs."""
     ranks = {"pass": 3, "word": 5, "password": 900, "he": 0, "the": 1}
