@@ -141,7 +141,7 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
 
 
 def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[tuple[int, int, int, int]]:
-    """``(start, kind, end, start of the value)`` by start, then kind; guesses that meet a fixed span are left out."""
+    """``(start, kind, end, start of the value)`` by start, then kind; values that a fixed span covers whole are not guessed."""
     out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
@@ -149,7 +149,7 @@ def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m.group(1).rstrip(".,;:!?)]}|")
         end = start + len(value)
-        if len(value) >= 8 and not any(s < end and start < e for s, _, e, _ in out) and guess_bits(value, ranks) >= min_bits:
+        if len(value) >= 8 and not any(v <= start and end <= e for _, _, e, v in out) and guess_bits(value, ranks) >= min_bits:
             added.append((start, 3, end, start))
     return sorted(out + added)
 

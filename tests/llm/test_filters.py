@@ -105,6 +105,15 @@ def test_names_of_credentials():
     assert secrets.spans("secret_" * 30000 + "aB" * 30000, {}) == []
 
 
+def test_values_that_go_on_behind_a_fixed_span(spark):
+    """A fixed span over a part of a value does not spare the rest; one over the whole value is not doubled."""
+    values = ["Ab3dEfGh1jKl$9!xQ#7", "Xk9$mQ2!zR70123456789abcdef", "0123456789abcdef$Xk9!mQ2zR7", "Ab3dEfGh1jKl9xQ7"]
+    df = spark.createDataFrame([(k, f"password: {v} end") for k, v in enumerate(values)], "doc_id long, text string")
+    assert [r.text for r in sorted(secrets.redact(df, ranks={}).collect())] == ["password: [REDACTED] end"] * 4
+    kinds = [[secrets.KINDS[k] for _, k, _, _ in secrets.spans(f"password: {v} end", {})] for v in values]
+    assert kinds == [["assign", "guess"], ["guess", "hex"], ["assign", "hex", "guess"], ["assign"]]
+
+
 def test_guess_bits_is_the_least(spark):
     """Against all segmentations of short values, by recursion with the same span costs."""
     ranks = {"pass": 3, "word": 5, "password": 900, "he": 0, "the": 1}
