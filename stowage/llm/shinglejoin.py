@@ -223,7 +223,7 @@ def find_order(docs: DataFrame, text_col: str, size: int = SIZE) -> Order:
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, order: Order) -> DataFrame:
-    """``id, n, sig, gkey, rare, prefix`` of every text; of equal groups in a task only the first carries its prefix."""
+    """``id, n, sig, gkey, rare, prefix`` of every text; of equal groups in a task only the first row with an id carries its prefix."""
     known = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +233,15 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 sets = hasher.sets(texts)
                 sigs, keys, prefixes = [], [], []
                 found, rare = known.value.prefixes(sets, percent)
-                for h, p in zip(sets, found, strict=True):
+                ids = batch.column(0).slice(at, len(texts))
+                for h, p, named in zip(sets, found, ids.is_valid().to_pylist(), strict=True):
                     sigs.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     keys.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
-                    prefixes.append(None if (keys[-1], len(h)) in told or not len(h) else p)
-                    told.add((keys[-1], len(h)))
-                cols = [batch.column(0).slice(at, len(texts)), pa.array([len(h) for h in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                    tells = named and len(h) > 0 and (keys[-1], len(h)) not in told
+                    prefixes.append(p if tells else None)
+                    if tells:
+                        told.add((keys[-1], len(h)))
+                cols = [ids, pa.array([len(h) for h in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(rare, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "gkey", "rare", "prefix"])
         del hasher, told
         release()

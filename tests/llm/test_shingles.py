@@ -70,6 +70,15 @@ def test_odd_rows(spark):
     assert shinglejoin.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_ids_first(spark):
+    """A row without id that comes first in its task does not take the prefix of its group from those with ids."""
+    words = [f"u{k}" for k in range(50)]
+    text, near = " ".join(words), " ".join([*words[:25], "other", *words[26:]])
+    df = spark.createDataFrame([(None, text), (5, text), (None, near), (7, near), (None, None)], "doc_id long, text string").coalesce(1)
+    got = Counter(map(tuple, shinglejoin.near_duplicates(df).collect()))
+    assert got == Counter([(None, 46, 5), (5, 46, 5), (None, 46, 5), (7, 46, 5), (None, 0, None)])
+
+
 def test_bounds():
     for n1 in range(1, 60):
         for n2 in range(1, 60):
