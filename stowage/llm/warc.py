@@ -34,7 +34,7 @@ from stowage.session import scratch, written
 LEAST_BYTES = 1000
 FILE_BYTES = 128 << 20
 CHUNK = 1 << 20
-#: A header block longer than this is damage, not a header.
+#: In uncompressed stretches a header block longer than this, and than any that the manifest tells of, is damage, not a header.
 HEADER_BYTES = 64 << 10
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 MAGIC, LINE = b"\x1f\x8b\x08", b"WARC/1."
@@ -84,7 +84,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", lea
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, compress: bool = True, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the archive below ``path`` and returns its manifest, ``file, records, bytes``.
+    """Writes the archive below ``path`` and returns its manifest, ``file, records, bytes, header_bytes`` (the longest header block).
 
     The table of repeated payloads is written first, so that its size is known when the join is planned:
     a small one is sent to all tasks, a large one is merge-joined.
@@ -101,28 +101,29 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         filesystem, root = _open(path)
         filesystem.create_dir(root, recursive=True)
         pack = member if compress else bytes
-        out, name, count, size, k = None, "", 0, 0, 0
+        out, name, count, size, longest, k = None, "", 0, 0, 0, 0
         for batch in batches:
             for page_id, url, html, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{k}.warc" + ".gz" * compress
-                    out, count = filesystem.open_output_stream(f"{root}/{name}", compression=None), 0
+                    out, count, longest = filesystem.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                     size = out.write(pack(record("warcinfo", b"software: stowage\r\nformat: WARC File Format 1.1\r\n", [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")])))
-                size += out.write(pack(page_record(page_id, url, html.encode("utf-8", "replace"), other)))
-                count += 1
+                data = page_record(page_id, url, html.encode("utf-8", "replace"), other)
+                size += out.write(pack(data))
+                count, longest = count + 1, max(longest, data.index(b"\r\n\r\n") + 4)
                 if size >= file_bytes:
                     out.close()
-                    yield _manifest(f"{path}/{name}", count, size)
+                    yield _manifest(f"{path}/{name}", count, size, longest)
                     out, k = None, k + 1
         if out is not None:
             out.close()
-            yield _manifest(f"{path}/{name}", count, size)
+            yield _manifest(f"{path}/{name}", count, size, longest)
 
-    return written(rows.mapInArrow(run, "file string, records long, bytes long"), "manifest")
+    return written(rows.mapInArrow(run, "file string, records long, bytes long, header_bytes long"), "manifest")
 
 
-def _manifest(name: str, count: int, size: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+def _manifest(name: str, *counts: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([n], pa.int64()) for n in counts)], ["file", "records", "bytes", "header_bytes"])
 
 
 # -- reading -------------------------------------------------------------------------------------
@@ -216,8 +217,8 @@ def _length(headers: dict[str, str]) -> int:
 
 
 def parse(data: bytes, need_digest: bool = False) -> Record:
-    """The one record that a member holds."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    """The one record that a member holds; its header is as long as it is, for the member is in memory."""
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(VERSIONS) or end < 0:
         raise Damage("no version line or header end")
     headers = _parse_head(data[:end])
@@ -243,15 +244,16 @@ def _member(window: Window, at: int, need_digest: bool) -> tuple[Record, int]:
     return parse(b"".join(parts), need_digest), here - len(z.unused_data)
 
 
-def _plain(window: Window, at: int, need_digest: bool) -> tuple[Record, int]:
-    head, step = b"", 4096
+def _plain(window: Window, at: int, need_digest: bool, header_bytes: int) -> tuple[Record, int]:
+    step = min(4096, header_bytes)
+    head = window.get(at, step)
+    if not head.startswith(VERSIONS):
+        raise Damage("no version line")
     while (end := head.find(b"\r\n\r\n")) < 0:
-        if len(head) >= HEADER_BYTES or len(head) < step - 4096:
+        if step >= header_bytes or len(head) < step:
             raise Damage("no header end")
+        step = min(2 * step, header_bytes)
         head = window.get(at, step)
-        step += 4096
-    if not head.startswith(VERSIONS):
-        raise Damage("no version line")
     headers = _parse_head(head[:end])
     n = _length(headers)
     if not window.fill(at + end + 8 + n) or window.get(at + end + 4 + n, 4) != b"\r\n\r\n":
@@ -259,15 +261,16 @@ def _plain(window: Window, at: int, need_digest: bool) -> tuple[Record, int]:
     return _checked(window.get(at + end + 4, n), headers, need_digest), at + end + 8 + n
 
 
-def salvage(stream, need_digest: bool = False) -> Iterator[Record | tuple[int, int, str]]:
+def salvage(stream, need_digest: bool = False, header_bytes: int = HEADER_BYTES) -> Iterator[Record | tuple[int, int, str]]:
     """Records of a file in order, and ``(start, end, reason)`` of the gaps between them.
 
     With ``need_digest``, as for archives of this writer, a record without block digest counts as damaged.
+    ``header_bytes`` is the longest header block of a record outside members.
     """
     window, at, gap, why = Window(stream), 0, None, ""
     while window.fill(at + 1):
         try:
-            found, end = (_member if window.get(at, 3) == MAGIC else _plain)(window, at, need_digest)
+            found, end = _member(window, at, need_digest) if window.get(at, 3) == MAGIC else _plain(window, at, need_digest, header_bytes)
         except Damage as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -283,13 +286,16 @@ def salvage(stream, need_digest: bool = False) -> Iterator[Record | tuple[int, i
         yield gap, at, why
 
 
-def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload: bool = True, need_digest: bool = False) -> DataFrame:
+def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload: bool = True, need_digest: bool = False, complete: bool = False) -> DataFrame:
     """Rows of records (gap columns null) and of gaps (record columns null) of the files in column ``file``.
 
-    A row of ``files`` is a file; one task reads several, each streamed.
+    A row of ``files`` is a file; one task reads several, each streamed. ``files`` may be a manifest: its
+    ``header_bytes`` is then heeded, and with ``complete`` a file must give as many records as it says.
     """
     count = max(1, files.count())
-    spread = files.select("file").repartitionByRange(min(count, 4 * spark.sparkContext.defaultParallelism + count // 8), "file")
+    longest = F.coalesce("header_bytes", F.lit(0)) if "header_bytes" in files.columns else F.lit(0)
+    wanted = F.col("records") if complete else F.lit(0)
+    spread = files.select("file", longest.cast("long").alias("header_bytes"), wanted.cast("long").alias("records")).repartitionByRange(min(count, 4 * spark.sparkContext.defaultParallelism + count // 8), "file")
     whole = pa.string() if id_type == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +309,11 @@ def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload
 
         cast = (lambda x: x) if id_type == "string" else int
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, header_bytes, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 filesystem, path = _open(name)
                 with filesystem.open_input_stream(path, compression=None) as stream:
-                    size = 0
-                    for x in salvage(stream, need_digest):
+                    size, seen = 0, 0
+                    for x in salvage(stream, need_digest, max(HEADER_BYTES, header_bytes)):
                         if isinstance(x, tuple):
                             rows.append((None,) * 6 + (name, *x))
                         elif x.kind in ("response", "revisit"):
@@ -316,10 +322,12 @@ def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload
                             body = x.payload
                             n = int(h["warc-payload-length"]) if x.kind == "revisit" else len(body)
                             rows.append((own, n, h.get("warc-payload-digest", "")[5:], x.kind, other, body if payload and x.kind == "response" else None, None, None, None, None))
-                            size += len(body)
+                            size, seen = size + len(body), seen + 1
                         if len(rows) >= 2000 or size >= 8 << 20:
                             yield flush()
                             size = 0
+                if complete and seen != records:
+                    raise ValueError(f"{name}: {seen} records read, {records} written")
         if rows:
             yield flush()
 
@@ -329,8 +337,8 @@ def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes the archive of ``pages`` and reads it back: a row a page, as the records say."""
+    """Writes the archive of ``pages`` and reads it back: a row a page, as the records say; an error if one is missing."""
     spark = pages.sparkSession
     manifest = write(pages, scratch(spark, "warc"), id_col, url_col, html_col)
-    rows = read(spark, manifest, pages.schema[id_col].dataType.simpleString(), payload=False, need_digest=True)
+    rows = read(spark, manifest, pages.schema[id_col].dataType.simpleString(), payload=False, need_digest=True, complete=True)
     return rows.where("file is null").select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

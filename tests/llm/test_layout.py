@@ -38,6 +38,19 @@ def test_files_hold_payloads(spark):
         assert got == {k: f"<p>{k}</p>" * (k + 1) for k in range(40)}
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls(spark, compress):
+    """A header of any length that the writer makes is read; a page and the one that refers to it both come back."""
+    long = "data:text/html," + "x" * 100_000
+    df = spark.createDataFrame([(1, long, BIG), (2, "http://a/", BIG), (3, long * 7, "small"), (4, "http://b/", "y")], "page_id long, url string, html string").coalesce(1)
+    files = warc.write(df, scratch(spark, "long"), compress=compress)
+    got = {r.page_id: (r.record_type, r.refers_to, r.reason) for r in warc.read(spark, files, complete=True).collect()}
+    assert got == {1: ("revisit", 2, None), 2: ("response", None, None), 3: ("response", None, None), 4: ("response", None, None)}
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2, 3, 4]
+    with pytest.raises(Exception, match="4 records read, 5 written"):
+        warc.read(spark, files.withColumn("records", files.records + 1), complete=True).collect()
+
+
 def archive(compress, n=12, size=3000):
     pack, parts = (warc.member if compress else bytes), []
     rng = random.Random(5)
