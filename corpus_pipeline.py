@@ -5,8 +5,9 @@
    (of repeated ids all rows, as they are one document).
 3. secrets: values found by the patterns or by their guess cost are replaced in the text.
 4. mixture: sources are brought to their target shares; documents repeat as often as they are taken and
-   stand in the order of their training positions.
-5. encoding: every text as token ids, with what the ids decode to as a digest.
+   stand in the order of their training positions, over the part files by number.
+5. encoding: every text as token ids, with what the ids decode to as a digest, and ``position``, the document's
+   place in that order from 0. Rows come in any order; sorted by position they are the curriculum.
 
 Stages write Parquet in the shared folder and the next one reads it. Null ids are kept by every stage:
 they name no document, so no group of copies loses them.
@@ -46,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(docs)
+    return bpe.digest(mixing.positions(docs), keep=("position",))
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_copies", near_copies), ("secrets", hide_secrets), ("mixture", mixture), ("encoding", encoding)]

@@ -361,10 +361,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded again; then the columns in ``keep``."""
+    kind = lambda c: f"`{c}` {docs.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(id_col), "n_tokens long, ids_sha256 string, decoded_sha256 string", *map(kind, keep)])
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer_path(tokenizer))
@@ -372,10 +373,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             for part, texts in _slices(batch, 1):
                 rows = [(len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(b, "<u4").tolist()).encode("utf-8", "replace")).hexdigest()) for b in bpe.encode(texts)]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, *part.columns[2:]], names)
         release()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:

@@ -20,6 +20,8 @@ gives an empty mix. Ties in the order fall to the id, then the size.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ SHARE, MOST = 1.5, 2.0
 DIGITS = 3
 #: Schedules by turns: steady, falling, rising; (time, weight) knots from 0 to 1.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
+#: Number of a part file, and of the file within the part.
+PART = re.compile(r"part-(\d+)-.*?(?:[-.]c(\d+))\..*")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -133,6 +137,28 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return later.orderBy(F.col("at").asc_nulls_last(), "key", "copy").select("row.*")
 
 
+def positions(dealt: DataFrame, name: str = "position") -> DataFrame:
+    """``dealt`` as it was written and is read again, with each row's place in the mix, from 0.
+
+    Part files are numbered in the order of the mix and hold its rows in order, while readers take files as they
+    like. So a row's place is its place in its file, after the rows of all files before; only a count a file
+    is gathered. A table that is not read from such files has no ``_metadata`` and is refused.
+    """
+    spark = dealt.sparkSession
+    rows = dealt.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    files = rows.groupBy("_file").count().collect()
+    order = {r["_file"]: tuple(map(int, PART.fullmatch(r["_file"]).groups())) for r in files}
+    starts, at = [], 0
+    for r in sorted(files, key=lambda r: order[r["_file"]]):
+        starts.append((r["_file"], at))
+        at += r["count"]
+    if len(set(order.values())) < len(order):
+        raise ValueError("part files of several writes in one folder have no common order")
+    begins = F.broadcast(spark.createDataFrame(starts, "_of string, _start long"))
+    rows = rows.join(begins, F.col("_file") == F.col("_of"), "left").withColumn(name, F.col("_start") + F.col("_row"))
+    return rows.drop("_file", "_row", "_of", "_start")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``id, size, source_size, target, taken, position`` for every document, range-sorted by position."""
     rows = plan(docs, id_col, text_col, source_col, **options)

@@ -60,6 +60,27 @@ def test_stages(spark, tmp_path):
     assert got == +want
 
 
+def test_order_of_the_mixture(spark, tmp_path):
+    """The last rows' positions are the mixture's order, though its part files are read in another one."""
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path))
+        path = str(tmp_path / "mixed")
+        mixed.write.parquet(path)
+        want = [r.doc_id for r in mixed.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    again = spark.read.parquet(path)
+    assert len(again.inputFiles()) >= 4
+    for read in (again, spark.read.parquet(*sorted(again.inputFiles(), reverse=True))):
+        got = sorted(corpus_pipeline.encoding(spark, read, str(tmp_path)).collect(), key=lambda r: r.position)
+        assert [r.position for r in got] == list(range(len(want)))
+        assert [r.doc_id for r in got] == want
+
+
 def test_stages_keep_columns(spark, tmp_path):
     tables(spark, tmp_path)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("text", F.col("text"))
