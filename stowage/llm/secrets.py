@@ -157,7 +157,7 @@ def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
     """The corpus' most frequent words (lower case, 3 to 24 letters) by rank, counted over all texts.
 
-    At most ``size``: all words whose count reaches the least step of a fine logarithmic scale that leaves no more.
+    At most ``size``, of those that occur ``least`` times; in order of count, then word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +178,28 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY,
 
     counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts.where(F.col("n") >= least), "words")
-    # from which count on there are no more than ``size`` words: by a short histogram of counts, so that no task
-    # sends more than its part of the dictionary
+    # by a short histogram of counts, so that no task sends more than its part of the dictionary: the steps that fit
+    # whole, and of the next one the first ranges of its order that do, with the head of the range after them
     step = F.floor(F.log("n") * STEPS_A_LOG)
-    bar, held = None, 0
+    bar, held, crossing = None, 0, None
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        held += r["count"]
-        if held > size:
+        if held + r["count"] > size:
+            crossing = r.step
             break
+        held += r["count"]
         bar = r.step
     top = counts.where(step >= bar).collect() if bar is not None else []
+    if crossing is not None and held < size:
+        order = (F.desc("n"), F.asc("word"))
+        rest = counts.where(step == crossing).repartitionByRange(*order).sortWithinPartitions(*order)
+        rest = written(rest.select("word", "n", F.spark_partition_id().alias("range")), "crossing")
+        whole = -1
+        for r in rest.groupBy("range").count().orderBy("range").collect():
+            if held + r["count"] > size:
+                top += rest.where(F.col("range") == r["range"]).orderBy(*order).limit(size - held).collect()
+                break
+            held, whole = held + r["count"], r["range"]
+        top += rest.where(F.col("range") <= whole).collect()
     return {r.word: k for k, r in enumerate(sorted(top, key=lambda r: (-r.n, r.word)))}
 
 

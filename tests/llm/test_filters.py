@@ -129,6 +129,16 @@ def test_guess_bits_is_the_least(spark):
     assert whole("password") < 12 and whole("aaaaaaaaaaaa") < 10 and whole("qwertyuiop") < 14 and whole("2019-01-31") < 15
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 99, 150, 151, 400])
+def test_vocabulary_is_filled(spark, size):
+    """Words by count, then word, up to the size, though many have one count; the rest of a count is cut by word."""
+    words = ["".join("abcdefghij"[int(d)] for d in f"{k:03}") for k in range(150)]
+    times = {w: 30 if k % 3 else 9 + k % 2 for k, w in enumerate(words)}
+    df = spark.createDataFrame([(" ".join([w] * n),) for w, n in times.items()] + [("rare " * 7,), (None,)], "text string")
+    want = sorted(times, key=lambda w: (-times[w], w))[:size]
+    assert secrets.vocabulary(df.repartition(3), size=size) == {w: k for k, w in enumerate(want)}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(0, "a password=abcdefghijklmnop b", "x", 29), (1, None, "y", None), (2, "clean", "z", 5)], "doc_id long, text string, lang string, n_chars long")
     got = sorted(secrets.redact(df).collect())
