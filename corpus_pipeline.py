@@ -2,7 +2,7 @@
 
 1. quality: the quadratic discriminant, learned from ``labels``; documents that it rejects go.
 2. near_copies: the grouped prefix join; of each group of near copies the document with the smallest id stays
-   (of repeated ids all rows, as they are one document).
+   (of repeated ids all rows; a row goes only if its own text is such a copy, whatever else its id names).
 3. secrets: values found by the patterns or by their guess cost are replaced in the text.
 4. mixture: sources are brought to their target shares; documents repeat as often as they are taken and
    stand in the order of their training positions, over the part files by number.
@@ -32,10 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids to drop are written first, so that Spark knows their size: few are sent to all tasks, and texts stay where they are."""
-    found = shinglejoin.near_duplicates(docs)
-    copies = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo < hi")
+    if several.isEmpty():
+        found = shinglejoin.near_duplicates(docs)
+        copies = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+        copies = written(copies, "copies")
+        return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    # ids that name different texts: each text is a node of its own, in the order of ids
+    rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text.alias("hash"))).alias("row"), "text")
+    found = shinglejoin.near_duplicates(rows, "row")
+    copies = found.where("component_id is not null and row.doc_id <> component_id.doc_id").select(F.col("row.doc_id").alias("copy"), F.col("row.hash").alias("hash")).distinct()
     copies = written(copies, "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    return docs.join(copies, (F.col("doc_id") == F.col("copy")) & (text == F.col("hash")), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -369,6 +369,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = inner.withColumn("before", F.lag("sid").over(W.partitionBy("m_key", "m_n").orderBy("sid"))).where("before is not null")
     pairs = written(pairs.union(inner.select("before", "sid")).where("a <> b").distinct(), "pairs")
     links = _verified(pairs, docs, id_col, text_col, size, percent)
+    # A repeated id with different texts is one node: it links the classes that hold it, which other ids may name.
+    torn = written(some.groupBy(F.col("id").alias("t")).agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("t"), "torn")
+    if not torn.isEmpty():
+        held = some.join(torn, F.col("id") == F.col("t"), "left_semi").select("id", F.col("sig").alias("of"))
+        held = held.join(classes.select("sig", "sid"), F.col("of") == F.col("sig")).where("sid <> id")
+        links = links.union(written(held.select("sid", "id").distinct(), "same"))
     roots = components(links)
 
     # All other links: the lists, and groups, that still hold several components.

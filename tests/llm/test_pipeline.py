@@ -81,6 +81,15 @@ def test_order_of_the_mixture(spark, tmp_path):
         assert [r.doc_id for r in got] == want
 
 
+def test_near_copies_by_row(spark, tmp_path):
+    """Of an id with several texts only the copies go; repeated rows stay, and rows without id."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(5, x), (5, y), (3, y), (4, z), (4, z), (6, z + " end"), (5, z), (None, y), (None, None), (9, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, str(tmp_path)).collect())
+    assert got == Counter([(5, x), (3, y), (4, z), (4, z), (None, y), (None, None), (9, None)])
+
+
 def test_stages_keep_columns(spark, tmp_path):
     tables(spark, tmp_path)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("text", F.col("text"))

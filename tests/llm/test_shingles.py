@@ -79,6 +79,14 @@ def test_null_ids_first(spark):
     assert got == Counter([(None, 46, 5), (5, 46, 5), (None, 46, 5), (7, 46, 5), (None, 0, None)])
 
 
+def test_ids_with_several_texts(spark):
+    """An id is one node, so that its texts link the ids that share them."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    df = spark.createDataFrame([(5, x), (5, y), (3, y), (8, x), (9, z), (7, z), (8, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in shinglejoin.near_duplicates(df).where("n_shingles > 0").collect())
+    assert got == Counter([(5, 3), (5, 3), (3, 3), (8, 3), (9, 7), (7, 7)])
+
+
 def test_bounds():
     for n1 in range(1, 60):
         for n2 in range(1, 60):
