@@ -9,8 +9,10 @@
 5. encoding: every text as token ids, with what the ids decode to as a digest, and ``position``, the document's
    place in that order from 0. Rows come in any order; sorted by position they are the curriculum.
 
-Stages write Parquet in the shared folder and the next one reads it. Null ids are kept by every stage:
-they name no document, so no group of copies loses them.
+Stages write Parquet in the shared folder and the next one reads it; what a stage wrote besides goes when it
+ends. Defined results, of all stages: an empty table gives an empty table; columns beyond those of documents are
+carried along whatever their names; a null in another column than id, text and source changes nothing. Null ids are
+kept by every stage: they name no document, so no group of copies loses them.
 """
 
 from __future__ import annotations
@@ -21,41 +23,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import bpe, mixing, qda, secrets, shinglejoin
-from stowage.session import scratch, table, written
+from stowage.session import scratch, table, tidied, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the classifier accepts. A null text is judged as an empty one; repeated rows are judged alike;
+    without rows of both labels every row has the same score, the share of label 1, and all stay or all go."""
     return qda.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids to drop are written first, so that Spark knows their size: few are sent to all tasks, and texts stay where they are."""
+    """Rows that are not a near copy of a row with a smaller id. Null and empty texts are copies of nothing.
+
+    The ids to drop are written first, so that Spark knows their size: few are sent to all tasks, and texts stay where they are.
+    """
+    copy, hashed = _fresh(docs, "copy"), _fresh(docs, "hash")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo < hi")
     if several.isEmpty():
         found = shinglejoin.near_duplicates(docs)
-        copies = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+        copies = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(copy)).distinct()
         copies = written(copies, "copies")
-        return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+        return docs.join(copies, docs["doc_id"] == copies[copy], "left_anti")
     # ids that name different texts: each text is a node of its own, in the order of ids
     rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text.alias("hash"))).alias("row"), "text")
     found = shinglejoin.near_duplicates(rows, "row")
-    copies = found.where("component_id is not null and row.doc_id <> component_id.doc_id").select(F.col("row.doc_id").alias("copy"), F.col("row.hash").alias("hash")).distinct()
+    copies = found.where("component_id is not null and row.doc_id <> component_id.doc_id").select(F.col("row.doc_id").alias(copy), F.col("row.hash").alias(hashed)).distinct()
     copies = written(copies, "copies")
-    return docs.join(copies, (F.col("doc_id") == F.col("copy")) & (text == F.col("hash")), "left_anti")
+    return docs.join(copies, (docs["doc_id"] == copies[copy]) & (text == copies[hashed]), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets of their texts replaced and ``n_chars`` of changed texts counted anew; null and empty
+    texts stay as they are, repeated rows are changed alike."""
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole rows as often as the mix takes them, in order. A null source is a source of its own; rows without words
+    stand once, at the end; repeated rows are documents of their own."""
     return mixing.dealt(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, position`` of every row; a null text is an empty one."""
     return bpe.digest(mixing.positions(docs), keep=("position",))
 
 
@@ -69,7 +90,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = scratch(spark, f"{k}-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with tidied(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
