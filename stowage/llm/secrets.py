@@ -4,7 +4,14 @@ The fixed kinds are ``assign``, ``access`` and ``hex``. The method adds kind ``g
 follows a credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force
 spans so that the sum of their guess costs in bits is least (dynamic programming over positions). A
 value whose least cost reaches ``min_bits`` is a secret; a cheaper one is prose or a placeholder. The
-dictionary is the corpus' own: its most frequent words, with the rank as the cost of guessing one.
+dictionary is the corpus' own: its most frequent words, with the rank as the cost of guessing one. A
+word must occur ``least`` times to be in it, so that a secret does not vouch for itself.
+
+The costs, in bits, of a span of a value of n characters: a brute-force span the sum of its characters';
+a word log2(rank + 2) and its capitals; a date that of its choices; a repeat its block's characters and
+log2(n) for how often; a walk its first key and way, two for each turn and log2(n) for its length. Every
+span but the first and brute-force ones costs one more. No span has a greatest length, and the work is
+linear in the value.
 
 Offsets are code points of the whole text, end exclusive; a match's span is the whole match, a guess'
 span its value. Defined results: a null text is empty and has no spans; an empty corpus has an empty
@@ -15,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -34,8 +43,8 @@ MIN_BITS = 44.0
 FLUSH = 250_000
 #: Steps of the scale of word counts for each factor of e.
 STEPS_A_LOG = 64
-#: Longest walk, and longest repeat with all its shorter forms, in the segmentation.
-SPAN = 32
+#: Letters of a dictionary word: what makes a run of letters a word, so that the dictionary's bytes are bounded.
+WORD_LETTERS = 64
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -43,15 +52,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # of AKIA[A-Z0-9]+ those of 18 charac
 HEX = re.compile(r"[0-9a-f]{16,}")  # of [0-9a-f]+ those of 16 characters or more
 KINDS = ("assign", "access", "hex", "guess")
 
-# A key's name may go on before the word (DB_PASSWORD, clientSecret) and after it in parts of its own (SECRET_ACCESS_KEY,
-# tokenValue, password2); the parts are bounded and not tried again in other cuts, so that the work stays linear.
+# A key's name is a whole run of letters, digits, "_" and "-" that holds a credential word which ends there or at a
+# digit, "_", "-" or a new capitalised part: DB_PASSWORD, clientSecret, SECRET_ACCESS_KEY, tokenValue, password2, but not
+# secretary. Each run is tried at its start only, so that the work is linear.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|auth(?:orization)?|login)"""
-    r"""(?:[_-]?[0-9]{1,8}+|[_-][a-z0-9]{1,32}+|(?-i:[A-Z][a-z0-9]{1,32}+)){0,6}+["']?"""
-    r"""[\x20\t]{0,8}(?:=>|:=|[:=]|\bis\b)[\x20\t]{0,8}(?:bearer[\x20\t]+)?["'`]?([^\s"'`<>]{8,})""",
+    r"""(?<![a-z0-9_-])(?=[a-z0-9_-]*?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret)[_-]?key|auth(?:orization)?|login)"""
+    r"""(?:(?![a-z])|(?-i:(?=[A-Z][a-z0-9]))))[a-z0-9_-]++["']?"""
+    r"""[\x20\t]*+(?:=>|:=|[:=]|\bis\b)[\x20\t]*+(?:bearer[\x20\t]+)?["'`]?([^\s"'`<>]{8,})""",
     re.A | re.I,
 )
-WORD = re.compile(r"[^\W\d_]{3,24}")
+WORD = re.compile(r"[^\W\d_]{3,}")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:1[0-2]|0?[1-9])\1(?:[12]\d|3[01]|0?[1-9]))?|(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:19|20)?\d\d", re.A)
 # Rows of the common keyboard, and the two plain sequences.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -80,63 +90,72 @@ def char_bits(c: str) -> float:
     return log2(10) if c.isdigit() else log2(26) if c.isascii() and c.isalpha() else log2(33) if c.isascii() else log2(100)
 
 
-def _runs(value: str, period: int) -> list[int]:
-    """From each start, how far the block of ``period`` characters there goes on repeating."""
-    n = len(value)
-    out = [min(period, n - i) for i in range(n)]
-    for i in range(n - period - 1, -1, -1):
-        if value[i] == value[i + period]:
-            out[i] = out[i + 1] + 1
-    return out
+def _word_bits(part: str, low: str, rank: int) -> float:
+    return log2(rank + 2) + (0 if part == low else 1 if part[1:] == low[1:] or part.isupper() else len(part))
+
+
+def _date_bits(length: int) -> float:
+    return log2(365 * 60) if length > 4 else log2(120)
 
 
-def guess_bits(value: str, ranks: dict[str, int]) -> float:
-    """Least cost in bits of a segmentation of ``value``; every segment after the first costs one bit more.
+def guess_bits(value: str, ranks: dict[str, int], limit: float = MIN_BITS, longest: int = WORD_LETTERS) -> float:
+    """Least cost in bits of a segmentation of ``value`` if that is under ``limit``; else something not under it.
 
-    Spans looked at, from every start: words of up to 24 letters, dates, walks of up to ``SPAN`` keys, and
-    repeats of blocks of up to 8, of up to ``SPAN`` characters or to their run's end; so the work is linear
-    in the length.
+    Repeats and walks that end at a place are those that start in the same run, so the best start is kept by
+    run and nothing is tried twice. A span that costs ``limit`` alone is in no cheaper segmentation: that bounds
+    the blocks of repeats, and the search ends where no start under ``limit`` is left to go on from.
     """
-    n, low = len(value), value.lower()
+    n, low, inf = len(value), value.lower(), float("inf")
     if len(low) != n:
         low = value
-    best = [0.0] + [float("inf")] * n
+    count = log2(max(n, 2))
+    walk = log2(47) + 2.0 + count
+    most = min(int(limit / log2(10)), n // 2)
+    best = [0.0] + [inf] * n
     bits = [char_bits(c) for c in value]
-    runs = [_runs(value, period) for period in range(1, min(8, n // 2) + 1)]
-    for i in range(n):
-        base = best[i] + (1.0 if i else 0.0)
-
-        def offer(end: int, cost: float, base: float = base) -> None:
-            if base + cost < best[end]:
-                best[end] = base + cost
-
-        # a brute-force span goes on at no extra cost: one step for each character
-        if best[i] + bits[i] < best[i + 1]:
-            best[i + 1] = best[i] + bits[i]
-        if low[i].isalpha():
-            for end in range(i + 2, min(n, i + 24) + 1):
-                if not low[end - 1].isalpha():
-                    break
-                rank = ranks.get(low[i:end])
-                if rank is not None:
-                    part = value[i:end]
-                    offer(end, log2(rank + 2) + (0 if part == low[i:end] else 1 if part[1:] == low[i + 1 : end] or part.isupper() else end - i))
-        if low[i].isdigit() and (m := DATE.match(low, i)):
-            offer(m.end(), log2(365 * 60) if m.end() - i > 4 else log2(120))
-        for period in range(1, min(8, (n - i) // 2) + 1):
-            run = runs[period - 1][i]
-            if run >= max(3, 2 * period):
-                unit = sum(bits[i : i + period])
-                for length in (*range(max(3, 2 * period), min(run, SPAN)), run):
-                    offer(i + length, unit + log2(length))
-        if i + 2 < n and (way := STEPS.get((low[i], low[i + 1]))):
-            cost, end = log2(47) + 2.0, i + 1
-            while end < min(n, i + SPAN) and (step := STEPS.get((low[end - 1], low[end]))):
-                if step != way:
-                    cost, way = cost + 2.0, step
-                end += 1
-                if end - i >= 3:
-                    offer(end, cost + log2(end - i))
+    sums = [0.0, *accumulate(bits)]
+    # by length of the block: where its run starts, and the best cost before a repeat in that run
+    begins, before = [0] * (most + 1), [inf] * (most + 1)
+    ways = [STEPS.get((low[k], low[k + 1])) for k in range(n - 1)]
+    turns, ahead = [0] * max(n, 1), inf  # turns: how often the way has changed up to a step
+    for k in range(1, n - 1):
+        turns[k] = turns[k - 1] + (ways[k] != ways[k - 1])
+    last = 0  # the last place that costs less than the limit
+    for end in range(n + 1):
+        if end:
+            cost = best[end - 1] + bits[end - 1]
+            for p in range(1, most + 1):
+                if end > p and value[end - 1] != value[end - 1 - p]:
+                    begins[p], before[p] = end - p, inf
+                i = end - max(3, 2 * p)
+                if i >= begins[p]:
+                    before[p] = min(before[p], best[i] + (i > 0))
+                    cost = min(cost, before[p] + sums[i + p] - sums[i] + count)
+            if end >= 3:
+                i = end - 3
+                if ways[end - 2] is None:
+                    ahead = inf
+                elif ways[i] is not None:
+                    ahead = min(ahead, best[i] + (i > 0) - 2 * turns[i])
+                    cost = min(cost, ahead + walk + 2 * turns[end - 2])
+            best[end] = min(best[end], cost)
+        here = best[end] + (end > 0)
+        if best[end] < limit:
+            last = max(last, end)
+            if end < n and low[end].isalpha():
+                for to in range(end + 2, min(n, end + longest) + 1):
+                    if not low[to - 1].isalpha():
+                        break
+                    rank = ranks.get(low[end:to])
+                    if rank is not None:
+                        cost = here + _word_bits(value[end:to], low[end:to], rank)
+                        best[to] = min(best[to], cost)
+                        last = max(last, to if cost < limit else 0)
+            if end < n and low[end].isdigit() and (m := DATE.match(low, end)):
+                best[m.end()] = min(best[m.end()], here + _date_bits(m.end() - end))
+                last = max(last, m.end() if best[m.end()] < limit else 0)
+        if end > last + max(2 * most, 3) and min(min(before, default=inf), ahead + 2 * turns[max(end - 2, 0)]) >= limit:
+            return inf
     return best[n]
 
 
@@ -145,17 +164,20 @@ def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[
     out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
+    # by start of the value: how far any span that starts there or before reaches
+    fixed = sorted((v, e) for _, _, e, v in out)
+    starts, reach = [v for v, _ in fixed], list(accumulate((e for _, e in fixed), max))
     added = []
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m.group(1).rstrip(".,;:!?)]}|")
-        end = start + len(value)
-        if len(value) >= 8 and not any(v <= start and end <= e for _, _, e, v in out) and guess_bits(value, ranks) >= min_bits:
+        end, at = start + len(value), bisect_right(starts, start) - 1
+        if len(value) >= 8 and not (at >= 0 and reach[at] >= end) and guess_bits(value, ranks, min_bits) >= min_bits:
             added.append((start, 3, end, start))
     return sorted(out + added)
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY, least: int = LEAST_COUNT) -> dict[str, int]:
-    """The corpus' most frequent words (lower case, 3 to 24 letters) by rank, counted over all texts.
+    """The corpus' most frequent words (lower case, 3 to ``WORD_LETTERS`` letters) by rank, counted over all texts.
 
     At most ``size``, of those that occur ``least`` times; in order of count, then word.
     """
@@ -170,7 +192,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY,
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(WORD.findall((text.as_py() or "").lower()))
+                seen.update(w for w in WORD.findall((text.as_py() or "").lower()) if len(w) <= WORD_LETTERS)
                 if len(seen) > FLUSH:
                     yield flush()
         yield flush()

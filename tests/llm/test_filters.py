@@ -1,8 +1,12 @@
 """URL verdicts, secret scans and the quality classifier against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
+from functools import cache
+from math import log2
 
 import numpy as np
 import pytest
@@ -114,19 +118,61 @@ def test_values_that_go_on_behind_a_fixed_span(spark):
     assert kinds == [["assign", "guess"], ["guess", "hex"], ["assign", "hex", "guess"], ["assign"]]
 
 
-def test_guess_bits_is_the_least(spark):
-    """Against all segmentations of short values, by recursion with the same span costs."""
-    ranks = {"pass": 3, "word": 5, "password": 900, "he": 0, "the": 1}
+def plain_bits(value, ranks):
+    """All segmentations by recursion, each span priced on its own by the module's docstring."""
+    n, low = len(value), value.lower() if len(value.lower()) == len(value) else value
+    char = [log2(10) if c.isdigit() else log2(26) if c.isascii() and c.isalpha() else log2(33) if c.isascii() else log2(100) for c in value]
+
+    def span(i, j):
+        """Costs of the span as a word, a date, a repeat or a walk."""
+        part = value[i:j]
+        if low[i:j] in ranks and part.isalpha():
+            same = sum(a != b for a, b in zip(part, low[i:j], strict=True))
+            yield log2(ranks[low[i:j]] + 2) + (0 if not same else 1 if part.isupper() or same == 1 and part[0] != low[i] else len(part))
+        if value[i].isdigit() and (m := secrets.DATE.match(low, i)) and m.end() == j:
+            yield log2(365 * 60) if j - i > 4 else log2(120)
+        for p in range(1, (j - i) // 2 + 1):
+            if j - i >= 3 and all(value[k] == value[k + p] for k in range(i, j - p)):
+                yield sum(char[i : i + p]) + log2(max(n, 2))
+        ways = [secrets.STEPS.get((low[k], low[k + 1])) for k in range(i, j - 1)]
+        if j - i >= 3 and all(ways):
+            yield log2(47) + 2 + log2(max(n, 2)) + 2 * sum(a != b for a, b in zip(ways, ways[1:], strict=False))
+
+    @cache
+    def least(i):
+        if i == n:
+            return 0.0
+        return min([char[i] + least(i + 1), *(c + (i > 0) + least(j) for j in range(i + 1, n + 1) for c in span(i, j))])
+
+    return least(0)
+
+
+def test_guess_bits_is_the_least():
+    """Against all segmentations of short values, and of long ones that a limit lets be decided early."""
+    rng, ranks = random.Random(5), {"pass": 3, "word": 5, "password": 900, "he": 0, "the": 1, "a" * 30: 40}
+    values = ["passwordx1", "thehe2019", "abcabcabc", "qwertzzzz", "Xk3", "1999-12-31", "aaaaaaa", "", "a", "PASSword", "qwe" * 15, "asdfdsa" * 6, "xyz" + "a" * 60 + "the", "É" * 9, "1234" * 20]
+    pieces = ["pass", "Word", "the", "aaa", "a" * 30, "qwerty", "0987", "1999", "31.12.99", "xkcd", "7", "$", "ab", "poiu", "İ"]
+    values += ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(250)]
+    for v in values:
+        want = plain_bits(v, ranks)
+        assert secrets.guess_bits(v, ranks, 1e6) == pytest.approx(want), v
+        got = secrets.guess_bits(v, ranks)
+        assert got == pytest.approx(want) if want < secrets.MIN_BITS else got >= secrets.MIN_BITS - 1e-9, v
+    whole = lambda v: secrets.guess_bits(v, ranks)
+    assert whole("password") < 12 and whole("aaaaaaaaaaaa") < 10 and whole("qwertyuiop") < 14 and whole("2019-01-31") < 15
 
-    def whole(v):
-        """Cost of the value as one span of one kind, with brute force priced by character."""
-        return secrets.guess_bits(v, ranks)
 
-    for v in ["passwordx1", "thehe2019", "abcabcabc", "qwertzzzz", "Xk3", "1999-12-31", "aaaaaaa", ""]:
-        least = min([whole(v), *(whole(v[:k]) + 1 + whole(v[k:]) for k in range(1, len(v)))])
-        assert whole(v) <= least + 1e-9
-        assert whole(v) <= sum(map(secrets.char_bits, v)) + 1e-9
-    assert whole("password") < 12 and whole("aaaaaaaaaaaa") < 10 and whole("qwertyuiop") < 14 and whole("2019-01-31") < 15
+def test_long_texts():
+    """Work is linear: many spans in a text, long values, long names, wide gaps."""
+    began = time.perf_counter()
+    text = "token=abcdefghijkl0123 x password: Xk9$mQ2!zR7qW\n" * 8000
+    assert len(secrets.spans(text, {})) == 16000
+    assert len(secrets.spans("password" + " " * 500_000 + "=" + "\t" * 500_000 + "Xk9$mQ2!zR7qW", {})) == 1
+    for value in ("a" * 200_000, "abc" * 60_000):
+        assert secrets.guess_bits(value, {"aaa": 2}) < secrets.MIN_BITS
+    assert secrets.guess_bits("Xk9$mQ2!zR7qW" * 20_000, {}) >= secrets.MIN_BITS
+    assert secrets.spans("secret_a" * 30_000 + "- x", {}) == [] and len(secrets.spans("secret_" * 30_000 + ": Xk9$mQ2!zR7qW", {})) == 1
+    assert time.perf_counter() - began < 20
 
 
 @pytest.mark.parametrize("size", [1, 7, 40, 99, 150, 151, 400])
@@ -139,6 +185,13 @@ def test_vocabulary_is_filled(spark, size):
     assert secrets.vocabulary(df.repartition(3), size=size) == {w: k for k, w in enumerate(want)}
 
 
+def test_vocabulary_of_level_counts(spark):
+    """Many more words of one count than the dictionary holds do not empty it."""
+    words = ["".join("abcdefghijklmnopqrst"[k // 20**d % 20] for d in range(4)) for k in range(40_000)]
+    df = spark.createDataFrame([(" ".join(words),)] * 8, "text string")
+    assert secrets.vocabulary(df) == {w: k for k, w in enumerate(sorted(words)[: secrets.DICTIONARY])}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(0, "a password=abcdefghijklmnop b", "x", 29), (1, None, "y", None), (2, "clean", "z", 5)], "doc_id long, text string, lang string, n_chars long")
     got = sorted(secrets.redact(df).collect())
