@@ -184,13 +184,44 @@ def test_shards(spark):
 
 
 def test_map_versions(spark):
+    """Each run edits the latest version and writes the next; a failed write is no version."""
     path = scratch(spark, "maps")
     df = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(500)], "doc_id long, text string")
-    slots.shard(df, map_path=path)
+    assert slots.latest(spark, path) is None
+    assert {r.version for r in slots.shard(df, map_path=path).collect()} == {1}
     old, new = slots.load_map(spark, path, 0), slots.load_map(spark, path, 1)
     assert old == slots.even_map() and len(new) == slots.SLOTS
-    same = sum(a == b for a, b in zip(old, new, strict=True))
-    assert same > 0.8 * slots.SLOTS
+    assert sum(a == b for a, b in zip(old, new, strict=True)) > 0.8 * slots.SLOTS
+    more = df.union(spark.createDataFrame([(900 + k, "y" * 400) for k in range(40)], df.schema))
+    rows = slots.shard(more, map_path=path).collect()
+    assert {r.version for r in rows} == {2} and slots.latest(spark, path) == 2
+    third = slots.load_map(spark, path, 2)
+    assert 0 < sum(a != b for a, b in zip(new, third, strict=True)) < 600 and all(third[r.virtual_slot] == r.shard for r in rows)
+    assert slots.load_map(spark, path, 0) == old and slots.load_map(spark, path, 1) == new
+    with pytest.raises(ValueError, match="fixed for good"):
+        slots.shard(df, slots=64, map_path=path)
+    fewer = slots.shard(more, shards=4, map_path=path).groupBy("shard").sum("size").collect()
+    assert {r.shard for r in fewer} == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("id_of", [lambda k: 7, lambda k: None])
+def test_repeated_rows_are_spread(spark, id_of):
+    """Half of all rows equal: shards stay near each other, by as little as one row's bytes."""
+    docs = [(id_of(k), "same text " * 30) if k % 2 else (k, "t" * (k % 700)) for k in range(20_000)]
+    got = slots.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert len(got) == len(docs)
+    load, places = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert max(load.values()) - min(load.values()) <= 701
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_long_text_in_shards(spark):
+    long = "é" * 3_000_000
+    got = slots.shard(spark.createDataFrame([(1, long), (2, "a")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == [(1, 6_000_001, zlib.crc32(long.encode())), (2, 2, zlib.crc32(b"a"))]
 
 
 def test_rebalance_against_heavy_slot():
