@@ -5,11 +5,13 @@ size in the shared folder. A file's name holds the task attempt; only files that
 reports are part of the archive, so lost executors and retries leave no duplicates. Of pages with equal
 payloads of ``least_bytes`` or more, the one with the largest id is stored, the others refer to it.
 
-Reader: streams a file through a bounded window. Each member (or, in uncompressed stretches, each record
-from its version line) must inflate, have the right CRC, a complete header, a block of the stated length
-and, where given, the right block and payload digests. After a failed check the reader searches from the next byte
-for a member or version line that passes all of them, goes on from there, and reports the bytes between
-as a quarantined gap with its reason.
+Reader: reads a file by places through a window of fixed size. Each member (or, in uncompressed stretches,
+each record from its version line) must inflate, have the right CRC, a complete header, a block of the stated
+length and, where given, the right block and payload digests. All of that is checked in pieces of fixed size; only a
+record that passed, or a small one, is held in memory, so a damaged length or a member that inflates without
+end costs time but no memory. After a failed check the reader searches from the next byte for a member or
+version line that passes all of them, goes on from there, and reports the bytes between as a quarantined gap
+with its reason.
 
 Defined results: null html is an empty payload; a null id is written without the id field and read as
 null; repeated rows with the largest id of their payload are all stored as responses; an empty table
@@ -36,6 +38,10 @@ FILE_BYTES = 128 << 20
 CHUNK = 1 << 20
 #: In uncompressed stretches a header block longer than this, and than any that the manifest tells of, is damage, not a header.
 HEADER_BYTES = 64 << 10
+#: A record up to this size is held while it is checked; a larger one is checked in pieces first and then read again.
+#: A member's header block, and the HTTP header in a record, may be as long.
+HELD = 8 << 20
+PIECE = 64 << 10
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 MAGIC, LINE = b"\x1f\x8b\x08", b"WARC/1."
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -130,39 +136,37 @@ def _manifest(name: str, *counts: int) -> pa.RecordBatch:
 
 
 class Window:
-    """A stretch of a file in memory: grows forward on demand, forgets what lies behind."""
+    """A file that is read at any place, through one buffer of fixed size."""
 
-    def __init__(self, stream):
-        self.stream, self.start, self.data, self.ended = stream, 0, b"", False
-
-    def fill(self, to: int) -> bool:
-        """Whether the file has the byte before ``to``."""
-        while self.start + len(self.data) < to and not self.ended:
-            more = self.stream.read(max(CHUNK, to - self.start - len(self.data)))
-            self.ended = not more
-            self.data += more
-        return self.start + len(self.data) >= to
+    def __init__(self, file):
+        self.file, self.start, self.data = file, 0, b""
+        file.seek(0, 2)
+        self.size = file.tell()
 
     def get(self, at: int, n: int) -> bytes:
-        self.fill(at + n)
+        """Up to ``n`` bytes from ``at``; fewer at the end of the file."""
+        n = max(0, min(n, self.size - at))
+        if not (self.start <= at and at + n <= self.start + len(self.data)):
+            if n > CHUNK:
+                self.file.seek(at)
+                return self.file.read(n)
+            self.file.seek(at)
+            self.start, self.data = at, self.file.read(min(CHUNK, self.size - at))
         return self.data[at - self.start : at - self.start + n]
 
-    def forget(self, before: int) -> None:
-        if before - self.start >= CHUNK:
-            self.data, self.start = self.data[before - self.start :], before
+    def pieces(self, at: int, n: int) -> Iterator[bytes]:
+        for k in range(at, at + n, PIECE):
+            yield self.get(k, min(PIECE, at + n - k))
 
     def find(self, at: int) -> int:
         """The next place from ``at`` on where a member or a version line may start; the end if none."""
-        while True:
-            self.fill(at + CHUNK)
-            low = at - self.start
-            found = [k for k in (self.data.find(MAGIC, low), self.data.find(LINE, low)) if k >= 0]
+        while at < self.size:
+            data = self.get(at, CHUNK)
+            found = [k for k in (data.find(MAGIC), data.find(LINE)) if k >= 0]
             if found:
-                return self.start + min(found)
-            if self.ended:
-                return self.start + len(self.data)
-            at = max(at, self.start + len(self.data) - len(LINE))
-            self.forget(at)
+                return at + min(found)
+            at += max(1, len(data) - len(LINE) + 1)
+        return self.size
 
 
 class Damage(Exception):
@@ -195,18 +199,74 @@ def _parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
-def _checked(block: bytes, headers: dict[str, str], need_digest: bool) -> Record:
-    """The record, if the digests that its header names fit; only those written as ``sha1:`` and hexadecimal are known."""
-    out = Record(headers, block)
-    whole, part = (headers.get(f"warc-{k}-digest", "") for k in ("block", "payload"))
-    if len(whole) == 45 and whole.startswith("sha1:"):
-        if hashlib.sha1(block).hexdigest() != whole[5:]:
-            raise Damage("block digest differs")
-    elif need_digest:
-        raise Damage("no block digest")
-    if out.kind == "response" and len(part) == 45 and part.startswith("sha1:") and hashlib.sha1(out.payload).hexdigest() != part[5:]:
-        raise Damage("payload digest differs")
-    return out
+class Check:
+    """One record, taken piece by piece: its header, the length of its block, and the digests that its header names.
+
+    Only digests written as ``sha1:`` and hexadecimal are known. The record itself is kept while it is small.
+    """
+
+    def __init__(self, header_bytes: int, need_digest: bool):
+        self.most, self.need_digest = header_bytes, need_digest
+        self.head, self.headers, self.length, self.seen = b"", None, 0, 0
+        self.kept: bytearray | None = bytearray()
+        self.tail = b""
+
+    def feed(self, data: bytes) -> None:
+        if self.headers is None:
+            self.head += data
+            if not self.head.startswith(LINE[: len(self.head)]):
+                raise Damage("no version line")
+            end = self.head.find(b"\r\n\r\n")
+            if end < 0 and len(self.head) < self.most:
+                return
+            if end < 0 or end + 4 > self.most or not self.head.startswith(VERSIONS):
+                raise Damage("no version line or header end")
+            self.headers = _parse_head(self.head[:end])
+            self.length = _length(self.headers)
+            if self.length > HELD:
+                self.kept = None
+            self.whole, self.body, self.http = hashlib.sha1(), hashlib.sha1(), b""
+            self.in_http = self.headers.get("warc-type") == "response"
+            self.split = False
+            data, self.head = self.head[end + 4 :], b""
+        block = data[: max(0, self.length - self.seen)]
+        self.seen += len(block)
+        self.whole.update(block)
+        if self.kept is not None:
+            self.kept += block
+        self._payload(block)
+        self.tail += data[len(block) :]
+        if len(self.tail) > 4:
+            raise Damage("block length differs")
+
+    def _payload(self, block: bytes) -> None:
+        """The payload's digest: of what follows the HTTP header, or of the whole block if it has none."""
+        if not self.in_http:
+            return
+        if self.split:
+            self.body.update(block)
+            return
+        self.http += block
+        end = self.http.find(b"\r\n\r\n")
+        if not self.http.startswith(b"HTTP/"[: len(self.http)]) or end < 0 and (self.seen >= self.length or len(self.http) > max(self.most, HELD)):
+            self.body.update(self.http)
+        elif end >= 0:
+            self.body.update(self.http[end + 4 :])
+        else:
+            return
+        self.split, self.http = True, b""
+
+    def end(self) -> None:
+        if self.headers is None or self.seen < self.length or self.tail != b"\r\n\r\n":
+            raise Damage("block length differs" if self.headers else "no version line or header end")
+        whole, part = (self.headers.get(f"warc-{k}-digest", "") for k in ("block", "payload"))
+        if len(whole) == 45 and whole.startswith("sha1:"):
+            if self.whole.hexdigest() != whole[5:]:
+                raise Damage("block digest differs")
+        elif self.need_digest:
+            raise Damage("no block digest")
+        if self.in_http and len(part) == 45 and part.startswith("sha1:") and self.body.hexdigest() != part[5:]:
+            raise Damage("payload digest differs")
 
 
 def _length(headers: dict[str, str]) -> int:
@@ -216,32 +276,42 @@ def _length(headers: dict[str, str]) -> int:
     return int(n)
 
 
-def parse(data: bytes, need_digest: bool = False) -> Record:
-    """The one record that a member holds; its header is as long as it is, for the member is in memory."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSIONS) or end < 0:
-        raise Damage("no version line or header end")
-    headers = _parse_head(data[:end])
-    n = _length(headers)
-    if data[end + 4 + n :] != b"\r\n\r\n" or len(data) < end + 4 + n:
-        raise Damage("block length differs")
-    return _checked(data[end + 4 : end + 4 + n], headers, need_digest)
-
-
-def _member(window: Window, at: int, need_digest: bool) -> tuple[Record, int]:
-    z, parts, here = zlib.decompressobj(31), [], at
+def _inflated(window: Window, at: int, ends: list[int]) -> Iterator[bytes]:
+    """A member's content in pieces; appends where it ends."""
+    z, here = zlib.decompressobj(31), at
     while not z.eof:
-        piece = window.get(here, CHUNK // 16)
-        if not piece:
-            raise Damage("member cut off")
-        try:
-            parts.append(z.decompress(piece))
-        except zlib.error as e:
-            raise Damage(f"member: {str(e)[:60]}") from e
-        if not parts[0].startswith(LINE[: len(parts[0])]):
-            raise Damage("member without version line")
-        here += len(piece)
-    return parse(b"".join(parts), need_digest), here - len(z.unused_data)
+        piece = window.get(here, PIECE)
+        over, here = not piece, here + len(piece)
+        while over or piece and not z.eof:
+            try:
+                data = z.decompress(piece, CHUNK)
+            except zlib.error as e:
+                raise Damage(f"member: {str(e)[:60]}") from e
+            if over and not data and not z.eof:
+                raise Damage("member cut off")
+            piece, over = z.unconsumed_tail, False
+            if data:
+                yield data
+    ends.append(here - len(z.unused_data))
+
+
+def _member(window: Window, at: int, need_digest: bool, header_bytes: int) -> tuple[Record, int]:
+    check, ends = Check(max(header_bytes, HELD), need_digest), []
+    for data in _inflated(window, at, ends):
+        check.feed(data)
+    check.end()
+    if check.kept is None:
+        check.kept, skip, head = bytearray(), 0, b""
+        for data in _inflated(window, at, []):
+            if not skip:
+                head += data
+                skip = head.find(b"\r\n\r\n") + 4
+                if skip < 4:
+                    skip = 0
+                    continue
+                data, head = head[skip:], b""
+            check.kept += data[: check.length - len(check.kept)]
+    return Record(check.headers, bytes(check.kept)), ends[0]
 
 
 def _plain(window: Window, at: int, need_digest: bool, header_bytes: int) -> tuple[Record, int]:
@@ -254,23 +324,27 @@ def _plain(window: Window, at: int, need_digest: bool, header_bytes: int) -> tup
             raise Damage("no header end")
         step = min(2 * step, header_bytes)
         head = window.get(at, step)
-    headers = _parse_head(head[:end])
-    n = _length(headers)
-    if not window.fill(at + end + 8 + n) or window.get(at + end + 4 + n, 4) != b"\r\n\r\n":
+    n = _length(_parse_head(head[:end]))
+    if window.get(at + end + 4 + n, 4) != b"\r\n\r\n":  # before anything of that length is read
         raise Damage("block length differs")
-    return _checked(window.get(at + end + 4, n), headers, need_digest), at + end + 8 + n
+    check = Check(header_bytes, need_digest)
+    for data in window.pieces(at, end + 8 + n):
+        check.feed(data)
+    check.end()
+    block = window.get(at + end + 4, n) if check.kept is None else bytes(check.kept)
+    return Record(check.headers, block), at + end + 8 + n
 
 
-def salvage(stream, need_digest: bool = False, header_bytes: int = HEADER_BYTES) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of a file in order, and ``(start, end, reason)`` of the gaps between them.
+def salvage(file, need_digest: bool = False, header_bytes: int = HEADER_BYTES) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of a file in order, and ``(start, end, reason)`` of the gaps between them; ``file`` can seek.
 
     With ``need_digest``, as for archives of this writer, a record without block digest counts as damaged.
     ``header_bytes`` is the longest header block of a record outside members.
     """
-    window, at, gap, why = Window(stream), 0, None, ""
-    while window.fill(at + 1):
+    window, at, gap, why = Window(file), 0, None, ""
+    while at < window.size:
         try:
-            found, end = _member(window, at, need_digest) if window.get(at, 3) == MAGIC else _plain(window, at, need_digest, header_bytes)
+            found, end = (_member if window.get(at, 3) == MAGIC else _plain)(window, at, need_digest, header_bytes)
         except Damage as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -281,7 +355,6 @@ def salvage(stream, need_digest: bool = False, header_bytes: int = HEADER_BYTES)
             gap = None
         yield found
         at = end
-        window.forget(at)
     if gap is not None:
         yield gap, at, why
 
@@ -289,7 +362,7 @@ def salvage(stream, need_digest: bool = False, header_bytes: int = HEADER_BYTES)
 def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload: bool = True, need_digest: bool = False, complete: bool = False) -> DataFrame:
     """Rows of records (gap columns null) and of gaps (record columns null) of the files in column ``file``.
 
-    A row of ``files`` is a file; one task reads several, each streamed. ``files`` may be a manifest: its
+    A row of ``files`` is a file; one task reads several, each through a window. ``files`` may be a manifest: its
     ``header_bytes`` is then heeded, and with ``complete`` a file must give as many records as it says.
     """
     count = max(1, files.count())
@@ -311,7 +384,7 @@ def read(spark: SparkSession, files: DataFrame, id_type: str = "bigint", payload
         for batch in batches:
             for name, header_bytes, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 filesystem, path = _open(name)
-                with filesystem.open_input_stream(path, compression=None) as stream:
+                with filesystem.open_input_file(path) as stream:
                     size, seen = 0, 0
                     for x in salvage(stream, need_digest, max(HEADER_BYTES, header_bytes)):
                         if isinstance(x, tuple):

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,44 @@ def test_salvage_never_invents(compress):
         assert {hashlib.sha1(r.block).hexdigest() for r in kept} <= true and len(kept) + 4 >= len(parts)
 
 
+def lying(size, digest=False):
+    """A member of zeros whose header tells its true length, or one more record than there is."""
+    z, parts = zlib.compressobj(9, zlib.DEFLATED, 31), []
+    about = f"WARC-Block-Digest: sha1:{'0' * 40}\r\n" if digest else ""
+    parts.append(z.compress(f"WARC/1.1\r\nWARC-Type: response\r\n{about}Content-Length: {size}\r\n\r\n".encode()))
+    for _ in range(size >> 20):
+        parts.append(z.compress(bytes(1 << 20)))
+    return b"".join([*parts, z.compress(b"\r\n\r\n"), z.flush()])
+
+
+def test_damage_takes_no_memory():
+    """A member that inflates without end, and a length behind the end of a large file, are skipped in bounded memory."""
+    good, plain = archive(True, 2), archive(False, 2)
+    bomb = lying(300 << 20, digest=True)
+    far = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2000000000\r\n\r\n" + b"x" * (30 << 20)
+    near = far.replace(b"2000000000", str(25 << 20).encode())
+    file = io.BytesIO(good[0] + bomb + good[1] + plain[0] + far + plain[1] + near + good[0])
+    tracemalloc.start()
+    found = [x if isinstance(x, tuple) else x.headers["warc-page-id"] for x in warc.salvage(file)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x for x in found if isinstance(x, str)] == ["0", "1", "0", "1", "0"]
+    assert [x[1] - x[0] for x in found if isinstance(x, tuple)] == [len(bomb), len(far), len(near)]
+    assert peak < 40 << 20
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_large_records(compress):
+    """A record over the size that is held comes back whole."""
+    payload = random.Random(2).randbytes(warc.HELD + 12345)
+    data = (warc.member if compress else bytes)(warc.page_record(1, "u", payload))
+    found = list(warc.salvage(io.BytesIO(data * 2), True))
+    assert [r.payload == payload for r in found] == [True, True]
+    hurt = bytearray(data * 2)
+    hurt[len(data) // 2] ^= 1
+    assert [isinstance(x, tuple) for x in warc.salvage(io.BytesIO(bytes(hurt)), True)] == [True, False]
+
+
 def test_foreign_archives():
     """One member over several records is damage to this reader unless each record has its own; plain text reads on."""
     plain = b"".join(archive(False, 3))
