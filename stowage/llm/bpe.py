@@ -6,6 +6,9 @@ would have come before the merges that built the two tokens) and every token is
 merge is what BPE makes of it). Both tests are table walks over numpy arrays, for all pairs of the
 batch at once. Only words with a failing test are merged exactly, with a heap.
 
+Texts are lower-cased and split into words by Python's Unicode tables. A text with a code point that those
+do not know is split by the tokenizers library itself, whose tables may be newer.
+
 Defined results: a null text counts as empty (no ids, empty decoded text); repeated rows each get their
 row; columns other than ``id_col`` and ``text_col`` are not read, so their names cannot clash.
 """
@@ -16,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 200_000
 #: Failing words up to so many bytes are merged together, a step at a time; longer ones by a heap each.
 SHORT = 48
+#: Words of more bytes are cut one by one, as a step over all words would be taken for each of their bytes.
+LONG = 512
 _NEVER = np.int64(1) << 40
 # Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -53,6 +59,18 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _unknown() -> re.Pattern:
+    """Any code point that Python's Unicode tables do not assign."""
+    spans, last = [], -2
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if c != last + 1:
+                spans.append([c, c])
+            spans[-1][1] = last = c
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
 def _latin_letters() -> str:
     return "".join(chr(c) for c in range(0x80, 0x250) if unicodedata.category(chr(c))[0] == "L")
 
@@ -107,6 +125,7 @@ class WordBpe:
 
         self.any = regex.compile(rf"{tails}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.path, self.edges, self.lib = path, None, None
 
     def _plant(self) -> None:
         """The vocabulary as a trie over bytes; a word's last byte counts as itself plus 256."""
@@ -205,6 +224,22 @@ class WordBpe:
         order = np.argsort(owner, kind="stable")
         return flat[order], owner[order]
 
+    def _cut_one(self, symbols: np.ndarray) -> list[int]:
+        """As ``speculate``, for one long word."""
+        if self.edges is None:
+            self.edges = dict(zip(self.edge_key.tolist(), self.edge_to.tolist(), strict=True))
+        edges, ends, word = self.edges.get, self.node_token.tolist(), symbols.tolist()
+        out, at, n = [], 0, len(word)
+        while at < n:
+            node, here, best, to = 0, at, -1, at
+            while here < n and (node := edges((node << 9) | word[here], -1)) >= 0:
+                here += 1
+                if ends[node] >= 0:
+                    best, to = ends[node], here
+            out.append(best)
+            at = to
+        return out
+
     def exact(self, symbols: list[int]) -> list[int]:
         """Merges one word in order of rank, leftmost first, by a heap over linked neighbours."""
         ids = self.base[symbols].tolist()
@@ -260,20 +295,37 @@ class WordBpe:
             ranks[left, j[left] - 1] = self._merge_rank(ids[left, j[left] - 1], made[left])
         return out, count
 
+    def _cut(self, symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words in order, and the word of each."""
+        long = np.flatnonzero(lengths > LONG)
+        if not len(long):
+            return self.speculate(symbols, ends)
+        short = np.flatnonzero(lengths <= LONG)
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if len(short):
+            flat, owner = self.speculate(symbols[np.repeat(lengths <= LONG, lengths)], np.cumsum(lengths[short]))
+            parts.append((flat, short[owner]))
+        for w in long.tolist():
+            tokens = np.array(self._cut_one(symbols[ends[w] - lengths[w] : ends[w]]), np.int64)
+            parts.append((tokens, np.full(len(tokens), w)))
+        flat, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
+
     def learn(self, words: set[str]) -> int:
         """Encodes words that the cache lacks; returns how many needed exact merging."""
         new = [w for w in words if w not in self.ids]
         if not new:
             return 0
         symbols, ends = self._symbols(new)
-        flat, owner = self.speculate(symbols, ends)
+        lengths = np.diff(ends, prepend=0)
+        flat, owner = self._cut(symbols, ends, lengths)
         failed = np.zeros(len(new), bool)
         failed[owner[~self.reachable[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
         failed[owner[inner[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]]] = True
         good = ~failed[owner]
-        lengths = np.diff(ends, prepend=0)
         bad = np.flatnonzero(failed)
         bad = bad[np.argsort(lengths[bad], kind="stable")]
         short = bad[lengths[bad] <= SHORT]
@@ -314,9 +366,19 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii.findall(text.lower())
+        if max(text) >= "ɐ" and _unknown().search(text):
+            return self._by_library(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return (self.latin if max(text) < "ɐ" else self.any).findall(text)
 
+    def _by_library(self, text: str) -> list[str]:
+        if self.lib is None:
+            from tokenizers import Tokenizer
+
+            self.lib = Tokenizer.from_file(self.path)
+        text = self.lib.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         cut = [self.words(t or "") for t in texts]

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -29,6 +31,23 @@ def test_random_texts(texts):
     same(texts)
 
 
+def test_every_code_point():
+    """Between letters, and on its own, each code point of the first planes; those that Python does not know too."""
+    points = [chr(c) for c in (*range(0x80, 0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE0200), 0x10FFFF)]
+    for at in range(0, len(points), 20_000):
+        same([f"a{c}b {c} 1{c}" for c in points[at : at + 20_000]])
+
+
+def test_long_words():
+    rng = random.Random(3)
+    words = ["a" * 200_000, "".join(rng.choices("etaoinshrdlu", k=200_000)), "é" * 3000, "x" * 513 + " the", "!?" * 40_000]
+    began = time.perf_counter()
+    list(OWN.encode(words))
+    assert time.perf_counter() - began < 8
+    OWN.ids.clear()
+    same([*words, "plain words " + "ing" * 300 + " end"])
+
+
 def test_exact_forms_agree():
     words = ["strthnationing", "x" * 40, "éèê", "thththth"]
     symbols, ends = OWN._symbols(words)
