@@ -6,7 +6,7 @@ import struct
 import zlib
 
 from stowage.errors import ArchiveError
-from stowage.formats.model import Archive, Entry, need
+from stowage.formats.model import READ_LIMIT, Archive, Entry, need
 
 # -- ISO 9660, Joliet, Rock Ridge ----------------------------------------------------------------
 
@@ -130,6 +130,8 @@ def open_cab(data: bytes) -> Archive:
         need(method & 15 in (0, 1), f"cab method {method & 15}", "FeatureDisabled")
         out, at, window = bytearray(), start, b""
         for _ in range(blocks):
+            if len(out) >= limit:  # what the entry needs lies before
+                break
             check, packed, size = struct.unpack_from("<IHH", data, at)
             block = data[at + 8 + per_data : at + 8 + per_data + packed]
             need(len(block) == packed, "cab block cut off", "BackendError")
@@ -151,8 +153,10 @@ def open_cab(data: bytes) -> Archive:
         folder, offset, size = places[k]
         if size > limit:
             raise ArchiveError("ZipBombSuspected", f"more than {limit} bytes")
-        if folder not in done:
-            done[folder] = unpacked(folder, limit)
+        if len(done.get(folder, b"")) < offset + size:
+            if offset + size > READ_LIMIT:
+                raise ArchiveError("ZipBombSuspected", f"more than {READ_LIMIT} bytes up to the entry's end")
+            done[folder] = unpacked(folder, offset + size)
         out = done[folder][offset : offset + size]
         need(len(out) == size, "cab folder too short", "BackendError")
         return out

@@ -11,6 +11,7 @@ import zlib
 from stowage.errors import ArchiveError
 from stowage.formats import aes
 from stowage.formats.model import Archive, Entry, file_time, need
+from stowage.formats.ranged import unpack_at
 
 MAGIC = b"7z\xbc\xaf\x27\x1c"
 AES = bytes.fromhex("06f10701")
@@ -210,8 +211,8 @@ def _streams(r: Reader) -> tuple[int, list[int], list[Folder], list[list[tuple[i
 
 def open_sevenz(data: bytes, password: str | None = None) -> Archive:
     need(data[:6] == MAGIC and len(data) >= 32, "7z: no signature", "BackendError")
-    need(zlib.crc32(data[12:32]) == struct.unpack_from("<I", data, 8)[0], "7z: start header checksum", "BackendError")
-    offset, size, crc = struct.unpack_from("<QQI", data, 12)
+    need(zlib.crc32(data[12:32]) == unpack_at("<I", data, 8)[0], "7z: start header checksum", "BackendError")
+    offset, size, crc = unpack_at("<QQI", data, 12)
     header = data[32 + offset : 32 + offset + size]
     need(len(header) == size and zlib.crc32(header) == crc, "7z: header checksum", "BackendError")
     if not size:

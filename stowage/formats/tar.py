@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 
 from stowage.errors import ArchiveError
 from stowage.formats.model import READ_LIMIT, Archive, Entry, need, unix_time
 from stowage.formats.names import RawName, decode_names
+from stowage.formats.ranged import STRETCH, as_file
 from stowage.formats.streams import bunzip2, gunzip, unlz4, unlzma, unxz, unzstd
 
 CODECS = {"Tar": None, "TarGz": gunzip, "TarBz2": bunzip2, "TarXz": unxz, "TarZst": unzstd, "TarLz4": unlz4}
@@ -21,10 +21,10 @@ def open_tar(data: bytes, path: str, kind: str, codepage: str | None = None, lim
     codec = unlzma if kind == "TarXz" and path.lower().endswith(".tlz") else CODECS[kind]
     whole = codec(data, limit) if codec else data
     try:
-        tar = tarfile.open(fileobj=io.BytesIO(whole), mode="r:", encoding="utf-8", errors="surrogateescape")
+        tar = tarfile.open(fileobj=as_file(whole), mode="r:", encoding="utf-8", errors="surrogateescape")
         members = tar.getmembers()
     except tarfile.ReadError as e:
-        if str(e) in ("empty file", "file could not be opened successfully") and not whole.strip(b"\0"):
+        if str(e) in ("empty file", "file could not be opened successfully") and not any(whole[k : k + STRETCH].strip(b"\0") for k in range(0, len(whole), STRETCH)):
             members, tar = [], None
         else:
             raise ArchiveError("Io", f"tar: {e}") from e

@@ -5,7 +5,6 @@ The strict reader refuses what is not in order; a refusal that speaks of damage
 
 from __future__ import annotations
 
-import io
 import struct
 import zipfile
 import zlib
@@ -13,6 +12,7 @@ import zlib
 from stowage.errors import ArchiveError
 from stowage.formats import aes
 from stowage.formats.model import UTC, Archive, Entry, dos_time, need
+from stowage.formats.ranged import as_file, unpack_at
 
 EOCD, LOCATOR, EOCD64, CDFH, LFH = b"PK\5\6", b"PK\6\7", b"PK\6\6", b"PK\1\2", b"PK\3\4"
 PREFLIGHT, TAIL, SCAN = 96, 65_557, 64 << 20
@@ -43,7 +43,7 @@ def preflight(data: bytes) -> None:
         need(loc >= 0 and tail[loc : loc + 4] == LOCATOR, "sanity check failed: no ZIP64 locator")
         (where,) = struct.unpack_from("<Q", tail, loc + 8)
         need(data[where : where + 4] == EOCD64 and len(data) >= where + 56, "sanity check failed: no ZIP64 end record")
-        size, offset = struct.unpack_from("<QQ", data, where + 40)
+        size, offset = unpack_at("<QQ", data, where + 40)
     need(offset + size <= len(data), "sanity check failed: directory ends behind the file")
 
 
@@ -92,7 +92,7 @@ def _aes_payload(data: bytes, info: zipfile.ZipInfo, password: str | None, limit
     version, _, strength, method = found
     if not password:
         raise ArchiveError("WrongPassword", "password needed")
-    name, extra_len = struct.unpack_from("<HH", data, info.header_offset + 26)
+    name, extra_len = unpack_at("<HH", data, info.header_offset + 26)
     start = info.header_offset + 30 + name + extra_len
     raw = data[start : start + info.compress_size]
     salt = 4 * strength + 4
@@ -115,13 +115,13 @@ def _aes_payload(data: bytes, info: zipfile.ZipInfo, password: str | None, limit
 def open_strict(data: bytes, password: str | None = None, kind: str = "Zip") -> Archive:
     preflight(data)
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = zipfile.ZipFile(as_file(data))
     except (zipfile.BadZipFile, struct.error, OverflowError, ValueError, IndexError, UnicodeDecodeError) as e:
         raise ArchiveError("Corrupted", f"invalid Zip archive: {e}") from e
     except NotImplementedError as e:
         raise ArchiveError("UnsupportedFormat", str(e)) from e
     infos = z.infolist()
-    stated = struct.unpack_from("<H", data, data.rfind(EOCD) + 10)[0]
+    stated = unpack_at("<H", data, data.rfind(EOCD) + 10)[0]
     need(stated == 0xFFFF or stated == len(infos) & 0xFFFF, "invalid Zip archive: another number of entries")
 
     def read(k: int, limit: int) -> bytes:
@@ -170,17 +170,17 @@ def find_directory(data: bytes) -> tuple[int, int]:
     end = data.rfind(EOCD, max(0, len(data) - TAIL))
     need(end >= 0, "no end record in the tail")
     need(end + 22 <= len(data), "end record cut off")
-    count, size, offset = struct.unpack_from("<HII", data, end + 10)
+    count, size, offset = unpack_at("<HII", data, end + 10)
     if count == 0xFFFF or 0xFFFFFFFF in (size, offset):
         loc = end - 20
         need(loc >= 0, "no room for a ZIP64 locator")
         if data[loc : loc + 4] != LOCATOR:
             start = offset if offset != 0xFFFFFFFF and offset < end and _is_record(data, offset) else _first_record(data, end)
             return start, end - start
-        (where,) = struct.unpack_from("<Q", data, loc + 8)
+        (where,) = unpack_at("<Q", data, loc + 8)
         need(where < len(data), "ZIP64 end record behind the file")
         need(data[where : where + 4] == EOCD64 and where + 56 <= len(data), "no ZIP64 end record at its place")
-        size, offset = struct.unpack_from("<QQ", data, where + 40)
+        size, offset = unpack_at("<QQ", data, where + 40)
         need(offset <= len(data), "ZIP64 directory behind the file")
         room = max(0, where - offset)
         return offset, size if 0 < size <= room else room
@@ -220,8 +220,8 @@ def open_lenient(data: bytes, password: str | None = None, kind: str = "Zip") ->
                 break
             warnings.append(f"resynchronised at {at}")
             continue
-        flags, method, time, date, crc, packed, size_, n, x, c = struct.unpack_from("<HHHHIIIHHH", data, at + 8)
-        external, offset = struct.unpack_from("<II", data, at + 38)
+        flags, method, time, date, crc, packed, size_, n, x, c = unpack_at("<HHHHIIIHHH", data, at + 8)
+        external, offset = unpack_at("<II", data, at + 38)
         stop = at + 46 + n + x + c
         if stop > end:
             warnings.append(f"record at {at} cut off")
@@ -252,7 +252,7 @@ def open_lenient(data: bytes, password: str | None = None, kind: str = "Zip") ->
         if flags & 1:
             raise ArchiveError("FeatureDisabled", "encrypted entry in a damaged archive")
         need(data[offset : offset + 4] == LFH and offset + 30 <= len(data), "invalid local header")
-        n, x = struct.unpack_from("<HH", data, offset + 26)
+        n, x = unpack_at("<HH", data, offset + 26)
         begin = offset + 30 + n + x
         body = data[begin : begin + entries[k].compressed_size]
         need(len(body) == entries[k].compressed_size, "payload cut off")

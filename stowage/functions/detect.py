@@ -11,7 +11,7 @@ FORMATS = {
     "Lzma": 11, "Zstd": 13, "TarZst": 14, "Lz4": 15, "TarLz4": 16, "Zipx": 17, "Iso": 18, "Cab": 19, "Msi": 20, "Deb": 21,
 }
 # Compression and encryption methods and their codes.
-METHODS = {"Store": 0, "Deflate": 1, "Deflate64": 2, "Bzip2": 3, "Lzma": 4, "Lzma2": 5, "Zstd": 6, "Ppmd": 7, "Unknown": 0xFFFF}
+METHODS = {"Store": 0, "Deflate": 1, "Deflate64": 2, "Bzip2": 3, "Lzma": 4, "Lzma2": 5, "Zstd": 6, "Ppmd": 7, "Unknown": 0xFFFFFFFF}
 ENCRYPTIONS = {"None": 0, "ZipCrypto": 1, "Aes128": 2, "Aes256": 3}
 # Signatures at offset 0, first match wins; what they mean is narrowed by the extension.
 MAGICS = (
@@ -63,10 +63,8 @@ def compound_extension(path: Column) -> Column:
 
 
 def _mapped(key: Column, table: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(key == F.lit(k), F.lit(v)).otherwise(out)
-    return out
+    """The entry of a literal map, null if none: ``key`` is computed once, whatever the size of the table."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def detect_bytes(content: Column) -> Column:
@@ -111,7 +109,8 @@ def format_code(name: Column) -> Column:
 
 
 def method_code(name: Column) -> Column:
-    return F.coalesce(_mapped(name, METHODS).cast("int"), F.lit(METHODS["Unknown"]))
+    """The code as an unsigned 32-bit number, so a long."""
+    return F.coalesce(_mapped(name, METHODS).cast("long"), F.lit(METHODS["Unknown"]).cast("long"))
 
 
 def encryption_code(name: Column) -> Column:

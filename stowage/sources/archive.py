@@ -3,12 +3,17 @@
 ``read_archives`` lists files with Spark's own ``binaryFile`` reader, so any file system that Spark reads
 will do. A file is one row and one parse; its entries stream out in batches, and payloads are decoded only
 if asked for. An archive that cannot be opened is one row with ``seq`` -1 and its ``error``.
+
+``read_archives(by_parts=True)`` and the data source open files in the tasks, through pyarrow's file systems: of
+ZIP, plain tar and 7z only the directory, the headers, and the entries that are asked for are read, so such files
+may have any size. Others are read whole, up to 2 GiB.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage
 
 from stowage.errors import ERROR, ArchiveError, as_error
-from stowage.formats import Archive, Entry, open_archive
+from stowage.formats import Archive, Entry, Ranged, detect, open_archive
 from stowage.formats.write import Item, write_archive
 from stowage.formats.zip import join_spanned
 
@@ -52,7 +57,17 @@ def _row(archive: str, a: Archive, seq: int, e: Entry, error: ArchiveError | Non
     )
 
 
-def entry_batches(name: str, data: bytes, password: str | None = None, content: bool = False, limit: int = CONTENT_LIMIT, kind: str | None = None) -> Iterator[pa.RecordBatch]:
+def opened(path: str):
+    """A file of a path or URI, for reading by parts."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):  # as Spark lists local files: not escaped
+        path = "/" + path[5:].lstrip("/")
+    filesystem, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return filesystem.open_input_file(root)
+
+
+def entry_batches(name: str, data: bytes | Ranged, password: str | None = None, content: bool = False, limit: int = CONTENT_LIMIT, kind: str | None = None) -> Iterator[pa.RecordBatch]:
     """Entries of one archive as record batches of the schema."""
     schema = ARROW_CONTENT if content else ARROW
     rows, size = [], 0
@@ -96,28 +111,44 @@ def entries(archives: DataFrame, path_col: str = "path", content_col: str = "con
     return archives.select(path_col, content_col).mapInArrow(run, CONTENT if content else ENTRY)
 
 
-def read_archives(spark: SparkSession, path: str | list[str], password: str | None = None, content: bool = False, pattern: str | None = None, limit: int = CONTENT_LIMIT) -> DataFrame:
-    """Entries of the files below a path; ``pattern`` is a glob on file names."""
+def read_archives(spark: SparkSession, path: str | list[str], password: str | None = None, content: bool = False, pattern: str | None = None, limit: int = CONTENT_LIMIT, by_parts: bool = False) -> DataFrame:
+    """Entries of the files below a path; ``pattern`` is a glob on file names.
+
+    With ``by_parts`` Spark only lists the files: its reader would fail on one of more than 2 GiB, and read all of each.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    if by_parts:
+        return entries_by_parts(reader.load(path).select("path", F.array("path").alias("files")), password, content, limit)
     return entries(reader.load(path).select("path", "content"), password=password, content=content, limit=limit)
 
 
+def entries_by_parts(archives: DataFrame, password: str | None = None, content: bool = False, limit: int = CONTENT_LIMIT) -> DataFrame:
+    """Entries of the archives of ``path, files``: ``files`` are the one file of an archive, or its volumes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, files in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with ExitStack() as held:
+                    yield from entry_batches(name, Ranged(*(held.enter_context(opened(f)) for f in files)), password, content, limit)
+
+    spread = archives.select("path", "files").repartition("path")  # a listing comes in few partitions
+    return spread.mapInArrow(run, CONTENT if content else ENTRY)
+
+
 def join_volumes(volumes: DataFrame, set_col: str = "set", index_col: str = "index", content_col: str = "content", spanned: bool = False) -> DataFrame:
     """One file a set, its volumes in order; ``spanned`` rewrites the directory of real multi-disk ZIPs.
 
     A set is one file and so one row; its volumes are gathered by the task that gets it, at most 2 GiB.
     """
     gathered = volumes.groupBy(F.col(set_col).alias("path")).agg(F.transform(F.sort_array(F.collect_list(F.struct(index_col, content_col))), lambda v: v[content_col]).alias("parts"))
-    if not spanned:
-        return gathered.select("path", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p)).alias("content"), F.lit(None).cast(ERROR).alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    whole, error = join_spanned(parts), None
+                    whole, error = join_spanned(parts) if spanned else b"".join(parts), None
                 except Exception as e:
                     whole, error = None, as_error(e).row()
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([whole], pa.binary()), pa.array([error], _ERROR)], ["path", "content", "error"])
@@ -135,13 +166,15 @@ class _File(InputPartition):
 
 class _ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options, self.only = options, None
+        self.options, self.only, self.kind = options, None, None
 
     def pushFilters(self, filters: list[Filter]):
-        """An equality on ``archive`` or on ``format`` picks files before any is opened; the rest stays with Spark."""
+        """An equality on ``archive`` picks files before any is opened, one on ``format`` by their first bytes; all stay with Spark too."""
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("archive",):
                 self.only = f.value
+            if isinstance(f, EqualTo) and f.attribute == ("format",):
+                self.kind = f.value
             yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -157,14 +190,12 @@ class _ArchiveReader(DataSourceReader):
         return [_File(p) for p in sorted(found) if self.only in (None, p)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        p = partition.path
-        filesystem, root = fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p)
-        with filesystem.open_input_stream(root, compression=None) as f:
-            data = f.read()
         o = self.options
-        yield from entry_batches(p, data, o.get("password"), o.get("includecontent", "false").lower() == "true", int(o.get("limit", CONTENT_LIMIT)), o.get("kind"))
+        with opened(partition.path) as f:
+            data = Ranged(f)
+            kind = o.get("kind") or detect(data, partition.path)
+            if self.kind in (None, kind):
+                yield from entry_batches(partition.path, data, o.get("password"), o.get("includecontent", "false").lower() == "true", int(o.get("limit", CONTENT_LIMIT)), kind)
 
 
 @dataclass

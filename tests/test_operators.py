@@ -54,10 +54,55 @@ def test_data_source(spark, tmp_path):
     assert one.select("path").count() == 4
     full = spark.read.format("archive").option("includeContent", "true").load(str(tmp_path / "x.zip"))
     assert {r.path: bytes(r.content or b"") for r in full.collect()}["d/a.txt"] == b"alpha" * 99
+    assert {r.archive for r in df.where("format = 'Tar'").select("archive", "format").collect()} == {str(tmp_path / "sub/y.tar")}
     listed = src.read_archives(spark, str(tmp_path), pattern="*.zip")
     assert listed.count() == 4 and A.totals(listed).collect()[0].entries == 4
 
 
+def test_read_by_parts(spark, tmp_path):
+    """The same rows as of whole files, for names that URIs would escape too."""
+    for name, kind in (("x y%20z.zip", "Zip"), ("x.zipx", "Zipx"), ("y.tar", "Tar"), ("y.tgz", "TarGz"), ("z.7z", "SevenZ")):
+        (tmp_path / name).write_bytes(Wr.write_archive(ITEMS, kind))
+    (tmp_path / "hurt.zip").write_bytes(Wr.write_archive(ITEMS)[:-40])
+    (tmp_path / "no.zip").write_bytes(b"PK\3\4")
+    rows = lambda **o: sorted(map(str, src.read_archives(spark, str(tmp_path), content=True, **o).collect()))
+    assert rows(by_parts=True) == rows() and len(rows()) >= 21
+
+
+def test_files_over_two_gib(spark, tmp_path):
+    """A tar and a stored ZIP of more than 2 GiB are listed, and a small entry read, though no row could hold them."""
+    import tarfile
+    import zipfile
+
+    size = 3 << 30
+    info = tarfile.TarInfo("big")
+    info.size = size
+    last = tarfile.TarInfo("small")
+    last.size = 5
+    with open(tmp_path / "t.tar", "wb") as f:  # a hole in the file stands for the payload
+        f.write(info.tobuf())
+        f.seek(size, 1)
+        f.write(last.tobuf() + b"hello" + bytes(507 + 1024))
+    with open(tmp_path / "z.zip", "wb") as f:
+        z = zipfile.ZipFile(f, "w")
+        big = zipfile.ZipInfo("big")
+        big.file_size, big.compress_size, big.CRC = size, size, 0
+        f.write(big.FileHeader())
+        f.seek(size, 1)
+        big.header_offset = 0
+        z.filelist.append(big)
+        z.NameToInfo["big"] = big
+        z.start_dir = f.tell()
+        z._didModify = True
+        z.writestr("small", b"hello")
+        z.close()
+    df = src.read_archives(spark, str(tmp_path), by_parts=True, content=True, limit=1000)
+    got = {(r.archive[-1], r.path): (r.uncompressed_size, r.error.kind if r.error else None, r.content and bytes(r.content)) for r in df.collect()}
+    assert got == {(k, "big"): (size, "ZipBombSuspected", None) for k in "rp"} | {(k, "small"): (5, None, b"hello") for k in "rp"}
+    src.register(spark)
+    assert spark.read.format("archive").load(str(tmp_path)).count() == 4
+
+
 def test_reports(spark):
     hurt = bytearray(Wr.write_zip(ITEMS, level=0))
     hurt[hurt.find(b"alpha")] ^= 1
@@ -128,6 +173,97 @@ def test_extract(spark, tmp_path):
     assert [(r.action, r.error.kind if r.error else None) for r in sorted(got) if r.archive == "evil.zip"] == [("write", None), ("fail", "PathTraversalBlocked")]
 
 
+def test_extract_over_existing(spark, tmp_path):
+    """What is there already decides by policy, files with a leading dot too; nothing is replaced under Never."""
+    items = [Wr.Item("x.txt", b"NEW"), Wr.Item(".env", b"NEW"), Wr.Item("y.txt", b"NEW")]
+
+    def run(policy, name):
+        place = tmp_path / name / "a"
+        place.mkdir(parents=True)
+        (place / "x.txt").write_bytes(b"OLD")
+        (place / ".env").write_bytes(b"OLD")
+        rows = sorted(A.extract(files(spark, a__zip=Wr.write_archive(items)), str(tmp_path / name), policy=policy).collect(), key=lambda r: r.seq)
+        assert sorted(os.listdir(tmp_path / name)) == ["a"]
+        return [(r.action, r.error.kind if r.error else None) for r in rows], {p.name: p.read_bytes() for p in place.iterdir()}
+
+    assert run("Never", "n") == ([("fail", "Io")], {"x.txt": b"OLD", ".env": b"OLD"})
+    for policy in ("IfNewer", "Ask"):
+        assert run(policy, policy) == ([("skip", None), ("skip", None), ("write", None)], {"x.txt": b"OLD", ".env": b"OLD", "y.txt": b"NEW"})
+    assert run("Always", "w") == ([("write", None)] * 3, {"x.txt": b"NEW", ".env": b"NEW", "y.txt": b"NEW"})
+    got, left = run("Rename", "r")
+    assert got == [("write", None)] * 3 and left["x.txt"] == left[".env"] == b"OLD" and left["x (2).txt"] == left["y.txt"] == b"NEW" and len(left) == 5
+
+
+def test_place_never_replaces(tmp_path):
+    """A file that has appeared since the plan stays; a repeated attempt of the task finds its own work done."""
+    from pyarrow import fs
+
+    local, row = fs.LocalFileSystem(), {"action": "write", "out_path": "t", "mode": 0o644, "modified": None, "link_target": None}
+    source, target = tmp_path / "s", tmp_path / "d/t"
+    source.write_bytes(b"NEW")
+    A._put(local, str(source), str(target), row, False)
+    A._put(local, str(source), str(target), row, False)
+    assert target.read_bytes() == b"NEW" and not source.exists()
+    source.write_bytes(b"LATER")
+    with pytest.raises(ArchiveError, match="already exists"):
+        A._put(local, str(source), str(target), row, False)
+    A._put(local, str(source), str(target), row, True)
+    assert target.read_bytes() == b"LATER"
+
+
+def test_archives_of_one_name(spark, tmp_path):
+    """Archives that share a folder or file name do not mix."""
+    one, two = (Wr.write_archive([Wr.Item("f", c)]) for c in (b"1", b"2"))
+    df = spark.createDataFrame([("p/x.zip", bytearray(one)), ("q/x.zip", bytearray(two)), ("x.tar", bytearray(Wr.write_archive([Wr.Item("f", b"3")], "Tar")))], "path string, content binary")
+    assert {r.error for r in A.extract(df, str(tmp_path / "e")).collect()} == {None}
+    assert sorted(p.read_bytes() for p in (tmp_path / "e").rglob("f")) == [b"1", b"2", b"3"] and len(os.listdir(tmp_path / "e")) == 3 and (tmp_path / "e/x/f").read_bytes() == b"1"
+    saved = {r.path: r.file for r in A.save(df, str(tmp_path / "s")).collect()}
+    assert len(set(saved.values())) == 3 and all(open(f, "rb").read() == bytes(b) for (p, b) in df.collect() for f in [saved[p]])
+    assert all(f.endswith((".zip", ".tar")) for f in saved.values()) and saved["p/x.zip"].endswith("/x.zip")
+
+
+def test_extract_counts_what_is_decoded(spark, tmp_path):
+    """A stream that states no size is held to the cap while it is decoded."""
+    import gzip
+
+    df = files(spark, big__gz=gzip.compress(bytes(5_000_000)), small__gz=gzip.compress(b"s" * 100))
+    got = {r.archive: r for r in A.extract(df, str(tmp_path), cap=1_000_000).collect()}
+    assert got["big.gz"].error.kind == "ZipBombSuspected" and got["big.gz"].action == "fail" and got["small.gz"].bytes == 100
+    assert [p.name for p in tmp_path.rglob("*") if p.is_file()] == ["small"]
+
+
+def test_backends_differ(spark):
+    """Kinds of errors, the ratio of totals and links depend on the backend that opened the archive."""
+    schema = "archive string, backend string, seq long, path string, is_directory boolean, is_symlink boolean, uncompressed_size long, compressed_size long, link_target string"
+    g = 1 << 30
+
+    def rows(backend, *entries):
+        return spark.createDataFrame([("z", backend, k, p, False, link is not None, u, c, link) for k, (p, u, c, link) in enumerate(entries)], schema)
+
+    kinds = lambda df, **o: [(r.action, r.error.kind if r.error else None) for r in A.plan_extraction(df, **o).orderBy("seq").collect() if r.reached]
+    for backend, kind in (("zip", "ZipBombSuspected"), ("tar", "ZipBombSuspected"), ("7z", "BackendError")):
+        assert kinds(rows(backend, ("a", g, 1000, None))) == [("fail", kind)]
+    for backend, kind in (("zip", "Io"), ("tar", "Io"), ("7z", "BackendError")):
+        assert kinds(rows(backend, ("a", 5, 5, None), ("a", 5, 5, None)))[1] == ("fail", kind)
+    steep = [("a", g // 2, 1000, None), ("b", g // 2, 1000, None)]
+    assert kinds(rows("zip", *steep))[1] == ("fail", "ZipBombSuspected")
+    assert [k for b in ("tar", "7z", "rar") for k in kinds(rows(b, *steep))] == [("write", None)] * 6
+    many = [(f"f{k}", g // 4, 40_000_000 if k < 2 else 1000, None) for k in range(8)]
+    assert kinds(rows("zip", *many), limit=20) == [("write", None)] * 8  # by many workers, which keep no running ratio
+    link = [("l", 1, 1, "t"), ("t", 1, 1, None)]
+    assert kinds(rows("rar", *link), follow_symlinks=True)[0] == ("skip", None) and kinds(rows("tar", *link), follow_symlinks=True)[0] == ("link", None)
+    report = A.extract_report(A.plan_extraction(rows("tar", *link))).collect()[0]
+    assert (report.extracted, report.skipped, report.warnings) == (1, 1, ["symbolic link skipped: links are not followed"])
+
+
+def test_reader_warnings(spark):
+    whole = bytearray(Wr.write_zip(ITEMS))
+    at = whole.rfind(b"PK\1\2", 0, whole.rfind(b"PK\1\2"))
+    whole[at : at + 4] = b"XXXX"
+    got = A.reader_warnings(files(spark, hurt__zip=bytes(whole), ok__zip=Wr.write_archive(ITEMS), bad__7z=b"7z")).collect()
+    assert {r.archive for r in got} == {"hurt.zip"} and "resynchronised" in got[0].warning
+
+
 def test_create_and_append(spark):
     rows = [("x.zip", k, p, bytearray(b) if b is not None else None, None, None) for k, (p, b) in enumerate([("t/a", b"1"), ("t/Thumbs.db", b"2"), ("t/", None)])] + [("y.zip", 0, "q", bytearray(b"9"), None, None)]
     items = spark.createDataFrame(rows, "archive string, seq long, path string, payload binary, modified timestamp, mode int")
