@@ -29,10 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     first, _ = cut(known, "links")
     state, path, before = first.where("hi > lo"), None, None
-    for _ in range(most_rounds):
+    for left in range(most_rounds, -1, -1):
         mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if mark == before or mark[0] == 0:
             break
+        if not left:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         before = mark
         both = state.union(state.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
         least, p1 = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")

@@ -15,7 +15,8 @@ the lists that still hold several components are taken up again, and every pair
 components that passes the size filter and may share enough of its prefixes is verified. So no link
 between components is lost, and none within a component is needed.
 
-Shingles and words are 64-bit hashes; sets are compared in full. The order only steers the amount of
+Shingles and words are 64-bit hashes; sets are compared in full. Pairs are found by one family of hashes and
+verified by another, and texts count as equal only if they agree in both. The order only steers the amount of
 work: a shingle is frequent if several texts of one task hold it, summed over all tasks and texts, and
 kept in bitmaps of fixed size.
 
@@ -47,8 +48,8 @@ FREQUENT = (12, 96, 768, 6144)
 #: Bits of each bitmap of frequent shingles, and of the filter for the texts to be verified. A fuller map moves
 #: more shingles back, or lets more texts through; neither changes a result.
 MAP_BITS, TEXT_BITS = 22, 24
-#: Bytes of text that are turned into shingles at once.
-SLICE = 1 << 20
+#: Bytes of text that are turned into shingles at once, and of the longest word that is mixed in eight at a time.
+SLICE, WORD = 1 << 20, 128
 #: Rows of a list from which it counts as wide.
 WIDE = 8
 #: Shingles that a task compares at once when it looks for frequent ones.
@@ -63,49 +64,49 @@ def _avalanche(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Words and shingles of many texts at once, as 64-bit hashes.
+    """Words and shingles of many texts at once, as 64-bit hashes of the families that ``seeds`` number.
 
-    A word's hash is a polynomial of its bytes (each through a table of random numbers, A-Z as a-z), taken
-    as the difference of two running sums and divided by the power at its start; then mixed. Texts are
-    joined by blanks and cut at white space into stretches of about ``SLICE`` bytes.
+    A word, with A-Z as a-z, is mixed in eight bytes at a time, after its length; one of more than ``WORD``
+    bytes goes through BLAKE2. Texts are joined by blanks and cut at white space into stretches of about
+    ``SLICE`` bytes.
     """
 
-    def __init__(self, size: int):
-        self.size = size
-        rng = np.random.default_rng(20)
-        table = rng.integers(0, 1 << 64, 256, np.uint64)
+    def __init__(self, size: int, seeds: tuple[int, ...] = (0,)):
+        self.size, self.seeds = size, seeds
+        self.keys = [np.random.default_rng(20 + seed).integers(0, 1 << 63, 3, np.uint64) * np.uint64(2) + np.uint64(1) for seed in seeds]
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
-        table[self.space] = 0
-        table[65:91] = table[97:123]
-        self.table = table
-        self.powers = self._powers(SLICE + 1, int(_MIX[0]))
-        self.inverse = self._powers(SLICE + 1, pow(int(_MIX[0]), -1, 1 << 64))
-
-    @staticmethod
-    def _powers(n: int, base: int) -> np.ndarray:
-        out = np.full(n, np.uint64(base))
-        out[0] = 1
-        return np.cumprod(out)
-
-    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and starts of the words of a stretch."""
-        n = len(data)
-        if n >= len(self.powers):  # one word longer than a stretch
-            self.powers = self._powers(n + 1, int(_MIX[0]))
-            self.inverse = self._powers(n + 1, pow(int(_MIX[0]), -1, 1 << 64))
+        self.low = np.arange(256, dtype=np.uint8)
+        self.low[65:91] = self.low[97:123]
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def _words(self, data: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Hashes, by family, and starts of the words of a stretch."""
         gap = self.space[data]
         edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-        starts, ends = edge[::2], edge[1::2]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
-        return _avalanche((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts
-
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """For each UTF-8 text its sorted distinct shingles."""
+        starts, left = edge[::2], edge[1::2] - edge[::2]
+        low = np.concatenate([self.low[data], np.zeros(8, np.uint8)])
+        blocks = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+        out = [_avalanche(left.astype(np.uint64) * k[0]) for k in self.keys]
+        live, at, n = np.flatnonzero(left <= WORD), starts, left
+        at, n = at[live], n[live]
+        while len(live):
+            x = blocks[at] & self.masks[np.minimum(n, 8)]
+            for h, k in zip(out, self.keys, strict=True):
+                h[live] = _avalanche(h[live] ^ x * k[1])
+            on = n > 8
+            live, at, n = live[on], at[on] + 8, n[on] - 8
+        for w in np.flatnonzero(left > WORD).tolist():
+            word = low[starts[w] : starts[w] + left[w]].tobytes()
+            for h, seed in zip(out, self.seeds, strict=True):
+                h[w] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([seed])).digest(), "little")
+        return out, starts
+
+    def shingles(self, texts: list[bytes | None]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+        """All texts' shingles, by family, and where each text's lie; the one of a text of few words stands behind all others."""
         sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
         data = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)
-        hashes, starts, at = [], [], 0
+        hashes, starts, at = [[np.empty(0, np.uint64)] for _ in self.seeds], [np.empty(0, np.int64)], 0
         while at < len(data):
             end = min(at + SLICE, len(data))
             while end < len(data):
@@ -114,33 +115,51 @@ class Hasher:
                     end = at + int(back[-1]) + 1
                     break
                 end = min(end + SLICE, len(data))
-            h, s = self._words(data[at:end])
-            hashes.append(h)
+            own, s = self._words(data[at:end])
+            for have, h in zip(hashes, own, strict=True):
+                have.append(h)
             starts.append(s + at)
             at = end
-        w, start = np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *starts])
-        upto = np.searchsorted(start, np.cumsum(sizes))
-        h = np.full(max(len(w) - self.size + 1, 0), np.uint64(self.size))
-        for k in range(self.size):
-            h = h * _MIX[0] + w[k : k + len(h)]
-        h = _avalanche(h).view(np.int64)
-        out = []
-        for low, high in zip(np.concatenate([[0], upto[:-1]]).tolist() if len(upto) else [], upto.tolist(), strict=True):
-            n = high - low
+        upto = np.searchsorted(np.concatenate(starts), np.cumsum(sizes)).tolist()
+        spans, few, at = [], [], 0
+        whole = max((upto[-1] if upto else 0) - self.size + 1, 0)
+        for to in upto:
+            n = to - at
             if n >= self.size:
-                own = np.sort(h[low : high - self.size + 1])
+                spans.append((at, to - self.size + 1))
+            elif n:
+                spans.append((whole + len(few), whole + len(few) + 1))
+                few.append((at, to))
+            else:
+                spans.append((0, 0))
+            at = to
+        out = []
+        for have, k in zip(hashes, self.keys, strict=True):
+            w = np.concatenate(have)
+            h = np.full(whole + len(few), np.uint64(self.size))
+            for j in range(self.size):
+                h[:whole] = h[:whole] * k[2] + w[j : j + whole]
+            for j, (low, high) in enumerate(few):
+                one = np.array([high - low], np.uint64)
+                for x in w[low:high]:
+                    one = one * k[2] + x
+                h[whole + j] = one[0]
+            out.append(_avalanche(h))
+        return out, spans
+
+    def sets(self, texts: list[bytes | None], sums: bool = False):
+        """For each UTF-8 text its sorted distinct shingles of the first family; with ``sums`` also the sum of all its shingles of the second."""
+        hashes, spans = self.shingles(texts)
+        out, h = [], hashes[0].view(np.int64)
+        for low, high in spans:
+            own = np.sort(h[low:high])
+            if high - low > 1:
                 keep = np.empty(len(own), bool)
                 keep[0] = True
                 np.not_equal(own[1:], own[:-1], out=keep[1:])
-                out.append(own[keep])
-            elif n:
-                one = np.array([n], np.uint64)
-                for x in w[low:high]:
-                    one = one * _MIX[0] + x
-                out.append(_avalanche(one).view(np.int64))
-            else:
-                out.append(np.empty(0, np.int64))
-        return out
+                own = own[keep]
+            out.append(own)
+        return (out, [int(hashes[1][low:high].sum()) for low, high in spans]) if sums else out
 
 
 def prefix_length(n, percent: int = PERCENT, floor=int):
@@ -227,15 +246,15 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     known = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, told = Hasher(size), set()
+        hasher, told = Hasher(size, (0, 1)), set()
         for batch in batches:
             for at, texts in _slices(batch, 1):
-                sets = hasher.sets(texts)
+                sets, sums = hasher.sets(texts, sums=True)
                 sigs, keys, prefixes = [], [], []
                 found, rare = known.value.prefixes(sets, percent)
                 ids = batch.column(0).slice(at, len(texts))
-                for h, p, named in zip(sets, found, ids.is_valid().to_pylist(), strict=True):
-                    sigs.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                for h, more, p, named in zip(sets, sums, found, ids.is_valid().to_pylist(), strict=True):
+                    sigs.append(hashlib.blake2b(h.tobytes() + more.to_bytes(8, "little"), digest_size=16).digest())
                     keys.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
                     tells = named and len(h) > 0 and (keys[-1], len(h)) not in told
                     prefixes.append(p if tells else None)
@@ -255,28 +274,34 @@ def _lists(sketch: DataFrame) -> DataFrame:
 
     ``np`` is the size times 2^32 plus the place in the prefix. A list is sorted by how many shingles of the
     prefix are not frequent, so that the first one, the hub, is the least edited of a family of near copies.
-    The rows stream through each task in order; a list is never held.
+    The rows are dealt by ranges of that order, so that a long list lies over many tasks, and stream through each;
+    a list is never held. Of a list that may go on in the next task no row is left out, and each task's part has a
+    hub of its own.
     """
     rows = sketch.select("gkey", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     rows = rows.select("token", "rare", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "gkey")
-    rows = rows.repartition("token").sortWithinPartitions("token", "rare", "np", "gkey").select("token", "np", "gkey")
+    order = ("token", "rare", "np", "gkey")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("token", "np", "gkey")
     names = ["token", "np", "gkey", "prev_np", "prev_gkey", "hub_np", "hub_gkey"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3  # the last row, not yet given out, and before it the one before, given out
         hub = (None, 0, 0)
-        context = 0
+        context, head = 0, None
 
-        def give(cols: list[np.ndarray], upto: int) -> pa.RecordBatch:
-            nonlocal hub
+        def give(cols: list[np.ndarray], upto: int, ended: bool = False) -> pa.RecordBatch:
+            nonlocal hub, head
             token, place, key = cols
+            head = token[0] if head is None else head
             same = np.concatenate([[False], token[1:] == token[:-1]])
             first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
             hub_place, hub_key = place[first], key[first]
             if token[0] == hub[0]:
                 hub_place[first == 0], hub_key[first == 0] = hub[1:]
             hub = (token[upto - 1], hub_place[upto - 1], hub_key[upto - 1])
-            shared = same | np.append(same[1:], False)
+            shared = same | np.append(same[1:], False) | (token == head)
+            if ended:
+                shared |= token == token[-1]
             shared[:context] = False
             shared[upto:] = False
             at = np.flatnonzero(shared)
@@ -298,7 +323,7 @@ def _lists(sketch: DataFrame) -> DataFrame:
                 cols = [c[-2:] for c in cols]
             held = cols
         if len(held[0]):
-            yield give(held, len(held[0]))
+            yield give(held, len(held[0]), True)
 
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -311,7 +336,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     filled = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(spot.alias("bit")), "bit", TEXT_BITS).get((), np.zeros(1 << (TEXT_BITS - 6), np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, m = Hasher(size), filled.value
+        hasher, m = Hasher(size, (1,)), filled.value
         for batch in batches:
             at = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
             own = batch.filter(pa.array((m[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
@@ -388,20 +413,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(rows.select("token", size_of("np").alias("n"), place_of("np").alias("p"), "sid", "comp", "inner", (F.col("wide") & ~F.col("inner")).alias("wide")), "open")
     held = rows.where("wide").groupBy(F.col("sid").alias("of")).agg(F.count("*").alias("e"))
     rows = written(rows.join(held, F.col("sid") == F.col("of"), "left").select(*rows.columns, F.coalesce("e", F.lit(0)).alias("e")), "weighed")
-    here = rows.groupBy("token", "comp", "wide").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("p").alias("p"), F.max("e").alias("e"))
-    one, two = (here.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "wide", "least", "most", "p", "e"))) for k in (1, 2))
+    # similar sets lie in the same or in neighbouring bands of sizes: only those meet
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    here = rows.groupBy("token", "comp", "wide", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("p").alias("p"), F.max("e").alias("e"))
+    one, two = (here.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "wide", "band", "least", "most", "p", "e"))) for k in (1, 2))
+    two = two.withColumn("band1", F.explode(F.array(*(F.col("band2") + k for k in (-1, 0, 1)))))
     near = (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
     enough = F.least("e1", "e2") >= _least_in_prefix(F.least("least1", "least2"), F.greatest("most1", "most2"), percent)
     least = _least_shared(F.col("least1"), F.col("least2"), percent)
     early = (F.col("p1") <= F.col("most1") - least) & (F.col("p2") <= F.col("most2") - least)
-    across = one.join(two.drop("wide2"), "token").where((F.col("comp1") < F.col("comp2")) & near & (~F.col("wide1") | (enough & early))).select("token", "comp1", "comp2")
-    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "n", "p", "sid", "inner", "wide", "e"))) for k in (1, 2))
+    across = one.join(two.drop("wide2"), ["token", "band1"]).where((F.col("comp1") < F.col("comp2")) & near & (~F.col("wide1") | (enough & early))).select("token", "comp1", "band1", "comp2", "band2")
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("comp", "band", "n", "p", "sid", "inner", "wide", "e"))) for k in (1, 2))
     n1, n2 = F.col("n1"), F.col("n2")
     enough = F.least("e1", "e2") >= _least_in_prefix(F.least(n1, n2), F.greatest(n1, n2), percent)
     near = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
     # sets that share m elements have one among the first n1 - m + 1 and n2 - m + 1
     early = (F.col("p1") <= n1 - _least_shared(n1, n2, percent)) & (F.col("p2") <= n2 - _least_shared(n1, n2, percent))
-    met = across.join(one, ["token", "comp1"]).join(two.drop("wide2"), ["token", "comp2"]).where(near & (~F.col("wide1") | (enough & early)))
+    met = across.join(one, ["token", "comp1", "band1"]).join(two.drop("wide2"), ["token", "comp2", "band2"]).where(near & (~F.col("wide1") | (enough & early)))
     met = met.groupBy(F.col("sid1").alias("a"), F.col("sid2").alias("b"), n1, n2, F.least("e1", "e2").alias("e")).agg(F.count_if(~F.col("wide1")).alias("c"), F.bool_or(F.col("inner1") & F.col("inner2")).alias("inner"))
     # All shared prefix shingles of narrow lists are counted here, those of wide ones are bounded. What else the sets
     # share stands behind the prefix that ends first.

@@ -108,6 +108,50 @@ def test_hashes_do_not_depend_on_slices(monkeypatch):
     assert shinglejoin.Hasher(5).sets([]) == []
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Words that polynomials modulo a power of two take for one another, and long ones that differ in a byte."""
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    words = [morse, morse.translate(str.maketrans("ab", "ba")), morse[:128], morse[:127] + "c", morse[:129], morse[:8], morse[:7] + "c", "x" * 16, "x" * 17]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate([*words, morse.upper()])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shinglejoin.near_duplicates(df).collect()}
+    assert got == {k: (1, k % len(words)) for k in range(len(words) + 1)}
+
+
+def test_families_are_independent():
+    """Both families tell the same shingles apart, and share no hash."""
+    texts = [" ".join(random.Random(k).choices("abcdef", k=40)).encode() for k in range(30)]
+    one, two = (shinglejoin.Hasher(5, (k,)).sets(texts) for k in (0, 1))
+    assert [len(x) for x in one] == [len(x) for x in two] == [len(shingles(t.decode())) for t in texts]
+    assert not set(np.concatenate(one)) & set(np.concatenate(two))
+    sets, sums = shinglejoin.Hasher(5, (0, 1)).sets([*texts, texts[0] + b" ", b"a b", None, b"A\nb"], sums=True)
+    assert sums[30] == sums[0] and sums[31] == sums[33] and sums[32] == 0 and len(set(sums)) == 32
+
+
+def test_repeated_passages_of_a_text(spark):
+    """Texts of one set that hold its shingles a different number of times are copies."""
+    words = " ".join(f"r{k}" for k in range(12))
+    df = spark.createDataFrame([(3, f"{words} {words}"), (1, f"{words} {words} {words}"), (2, f"{words} {words}")], "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in shinglejoin.near_duplicates(df).collect()} == {(3, 12, 1), (1, 12, 1), (2, 12, 1)}
+
+
+def test_long_lists_over_many_tasks(spark):
+    """A shingle of a third of all texts, over more tasks than its list has rows, loses no link."""
+    rng = random.Random(4)
+    docs = []
+    for k in range(0, 240, 2):
+        own = [f"s{rng.randrange(10**6)}" for _ in range(24)]
+        docs += [(k, " ".join(["the common opening line here", *own])), (k + 1, " ".join(["the common opening line here", *own, f"e{k}"]))]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in shinglejoin.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {k: k - k % 2 for k, _ in docs}
+
+
 def test_groups_with_several_classes(spark):
     """Sets of one size with equal prefixes but different tails: told apart, and verified with each other."""
     order = shinglejoin.Order([])
