@@ -11,11 +11,15 @@ which a copy starts is looked up in the inverse of the demand, which gives the c
 The mix is range-sorted by position. A source's last copy is cut where its target ends.
 
 The running sums never gather a source in one task: sizes are first summed in a fixed number of hash
-ranges a source, whose running sum is small, then within each range.
+ranges a source, whose running sum is small, then within each range. The order is the hash of id and text, and
+of rows equal in both the hash of their number among them as well, so that neither rows without id nor
+repeated ones meet in one range. Sums over all sources are taken by ranges of their order too, for there may
+be as many sources as domains.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; documents
 of size 0 take nothing and have no position; repeated rows are documents of their own; an empty table
-gives an empty mix. Ties in the order fall to the id, then the size.
+gives an empty mix. Ties in the order fall to the id, then the size. Columns other than id, text and source
+are carried along by ``dealt`` and else not read.
 """
 
 from __future__ import annotations
@@ -51,19 +55,34 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     the level is its maximum.
     """
     n = len(weights)
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("turn", F.row_number().over(by_name) - 1)
+    s = _before(sizes, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}, "sources")
     s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("turn") % n + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_level = W.orderBy(F.col("cap") / F.col("weight"), "turn")
-    before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing))
-    total = F.sum("source_size").over(W.partitionBy()) * F.lit(float(share))
-    s = s.withColumn("level", (total - before) / left)
-    target = F.least(F.col("cap"), F.max("level").over(W.partitionBy()) * F.col("weight"))
+    s = _before(s, [F.col("cap") / F.col("weight"), F.col("turn")], {"full": F.col("cap"), "passed": F.col("weight")}, "levels")
+    every = s.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    total, weight = float(every.words or 0) * float(share), float(every.weight or 0)
+    level = s.agg(F.max((F.lit(total) - F.col("full")) / (F.lit(weight) - F.col("passed")))).first()[0]
+    target = F.least(F.col("cap"), F.lit(level).cast("double") * F.col("weight"))
     return s.select("source", "turn", "source_size", target.alias("target"))
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with the sums over all rows before each in ``order``: by ranges of it, of which the driver holds a row each, then within."""
+    spark = rows.sparkSession
+    rows = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    totals = rows.groupBy("_part").agg(*(F.sum(c).alias(k) for k, c in sums.items())).orderBy("_part").collect()
+    kinds = {k: rows.select(F.coalesce(F.sum(c), F.lit(0)).alias(k)).schema[k].dataType.simpleString() for k, c in sums.items()}
+    starts, held = [], dict.fromkeys(sums, 0)
+    for r in totals:
+        starts.append((r["_part"], *held.values()))
+        held = {k: v + r[k] for k, v in held.items()}
+    offsets = spark.createDataFrame([(p, *(float(v) if kinds[k] == "double" else v for k, v in zip(sums, own, strict=True))) for p, *own in starts], ", ".join(["_of int", *(f"_{k} {t}" for k, t in kinds.items())]))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    out = out.withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()})
+    return out.drop("_part", "_of", *(f"_{k}" for k in sums))
+
+
 def position_of(drawn: Column, target: Column, schedule) -> Column:
     """Time at which a source's cumulative demand reaches ``drawn`` words: the integral of the schedule inverted.
 
@@ -88,14 +107,24 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ``taken`` counts words with repeats; ``epochs`` are whole copies, ``last_words`` what a further copy
     gives before the target cuts it; ``position`` is the first copy's, null if nothing is taken.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.encode(text, "UTF-8"))))
     row = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []
-    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), key.alias("key"), *row)
     # a name that is never null: null-safe equality would deal the rows out once more for the join
-    base = base.withColumns({"range": F.substring("key", 1, DIGITS), "group": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
-    if not keep:
-        base = written(base, "sizes")  # small: the text is counted once
-    ranges = base.groupBy("source", "group", "range").agg(F.sum("size").alias("range_size"))
+    group = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
+    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), group.alias("group"), key.alias("key"), *row)
+    slim = written(base.drop("row"), "sizes")  # without texts: they are counted once
+    base = base if keep else slim
+    again = slim.groupBy(F.col("group").alias("a_group"), F.col("key").alias("a_key")).count().where("count > 1").drop("count")
+    again = written(again, "again")
+    if not again.isEmpty():
+        same = (F.col("group") == F.col("a_group")) & (F.col("key") == F.col("a_key"))
+        numbered = _numbered(base.join(again, same, "left_semi"))
+        base = base.join(again, same, "left_anti").unionByName(numbered)
+        slim = slim.join(again, same, "left_anti").unionByName(numbered.drop("row"))
+    in_range = F.substring("key", 1, DIGITS)
+    base = base.withColumn("range", in_range)
+    ranges = slim.groupBy("source", "group", in_range.alias("range")).agg(F.sum("size").alias("range_size"))
     ranges = written(ranges, "ranges")
     of_source = written(targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most), "targets")
     ahead = W.partitionBy("group").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -114,6 +143,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return rows.withColumn("position", F.when(F.col("taken") > 0, _place(F.col("start"), schedules)))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows equal in ``group`` and ``key`` with keys of their own, by their number among them: within the task that read a row, after those of all tasks before."""
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "repeated").withColumn("_task", F.shiftright("_row", 33))
+    same = ["group", "key"]
+    counts = rows.groupBy(*same, "_task").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*same).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    counts = written(counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "starts")
+    number = F.col("_start") + F.row_number().over(W.partitionBy(*same, "_task").orderBy("_row")) - 1
+    rows = rows.join(counts, [*same, "_task"]).withColumn("_number", number)
+    own = F.when(F.col("_number") > 0, F.md5(F.concat("key", F.lit(":"), F.col("_number").cast("string")))).otherwise(F.col("key"))
+    return rows.withColumn("key", own).drop("_row", "_task", "_start", "_number")
+
+
 def _place(start: Column, schedules) -> Column:
     """The position of the word at ``start`` by the schedule of the row's source."""
     at = F.lit(None).cast("double")
@@ -126,7 +168,8 @@ def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: whole documents, each as often as it is taken, all columns, range-sorted by position.
 
     Texts stay whole: a copy of which the mix takes half or more is written, one of which it takes less is
-    not. Documents without words are written once, at the end. A second copy stands one source size of
+    not. Only one document of a source is cut by its target, so that the words written are within half of that
+    document's of the target. Documents without words are written once, at the end. A second copy stands one source size of
     words after the first, by its source's schedule.
     """
     rows = plan(docs, id_col, text_col, source_col, keep=docs.columns, **options)

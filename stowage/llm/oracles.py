@@ -21,7 +21,8 @@ select vec_id, (select count(*) from links l where l.a = o.vec_id) as n_links, l
 """
 
 MIX = f"""
-with d as (select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), {WORD})) as bigint) as size, source, md5(coalesce(cast(doc_id as varchar), 'null')) as k from documents),
+with d as (select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), {WORD})) as bigint) as size, source, md5(coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as k0,
+  row_number() over (partition by doc_id, coalesce(text, ''), source) - 1 as copy, case when copy = 0 then k0 else md5(k0 || ':' || cast(copy as varchar)) end as k from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
 o as (select *, row_number() over (order by source nulls last) - 1 as turn from s),
 w as (select *, cast([3, 1, 2][turn % 3 + 1] as double) as weight, source_size * 2.0::double as cap from o),

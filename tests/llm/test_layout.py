@@ -200,6 +200,34 @@ def test_dealt(spark):
     times = Counter(r.doc_id for r in got)
     for k, r in plan.items():
         assert times[k] == (1 if r.size == 0 else r.epochs + (2 * r.last_words >= r.size and r.last_words > 0))
+    for s in {r.source for r in got}:
+        taken = sum(words(r.text) for r in got if r.source == s)
+        goal = next(p.target for p in plan.values() if p.source == s)
+        assert abs(taken - goal) <= 0.5 * 8 + 0.5
+
+
+@pytest.mark.parametrize("text", [lambda k: "same words", lambda k: f"w{k} " * (k % 5)])
+def test_repeated_rows_spread_over_ranges(spark, text):
+    """Rows without id, and rows equal in all, do not meet in one range; reruns agree however rows are dealt."""
+    docs = [(None if k % 3 else 7, text(k), "s") for k in range(6000)] + [(100 + k, f"own {k}", "s") for k in range(200)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, row int")
+    rows = mixing.plan(df).collect()
+    assert len(rows) == len(docs) and max(Counter(r.range for r in rows).values()) < 16
+    again = mixing.plan(df.repartition(9)).collect()
+    same = lambda rows: Counter((r.id, r.size, r.taken, r.position) for r in rows)
+    assert same(rows) == same(again)
+    assert mixing.dealt(df).columns == df.columns and sum(words(r.text) for r in mixing.dealt(df).collect()) == pytest.approx(rows[0].target, abs=3)
+
+
+def test_targets_of_many_sources(spark):
+    """Turns and levels over many ranges equal those by plain search."""
+    rng = random.Random(8)
+    sizes = {f"d{k}": rng.choice([0, 1, 7, 300, 5000]) for k in range(300)} | {None: 40}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    goal, got = plain_targets(sizes), {r.source: r for r in mixing.targets(df).collect()}
+    names = [*sorted(s for s in sizes if s is not None), None]
+    assert {s: (got[s].turn, pytest.approx(goal[s])) for s in sizes} == {s: (names.index(s), got[s].target) for s in sizes}
+    assert mixing.targets(df.limit(0)).count() == 0
 
 
 # -- sharding ------------------------------------------------------------------------------------
