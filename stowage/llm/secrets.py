@@ -61,6 +61,9 @@ CONTEXT = re.compile(
     r"""[\x20\t]*+(?:=>|:=|[:=]|\bis\b)[\x20\t]*+(?:bearer[\x20\t]+)?["'`]?([^\s"'`<>]{8,})""",
     re.A | re.I,
 )
+#: Without one of these a text has no match of ASSIGN, or of CONTEXT; looked for in the lower-cased text.
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
+CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "login")
 WORD = re.compile(r"[^\W\d_]{3,}")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:1[0-2]|0?[1-9])\1(?:[12]\d|3[01]|0?[1-9]))?|(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:19|20)?\d\d", re.A)
 # Rows of the common keyboard, and the two plain sequences.
@@ -161,14 +164,16 @@ def guess_bits(value: str, ranks: dict[str, int], limit: float = MIN_BITS, longe
 
 def spans(text: str, ranks: dict[str, int], min_bits: float = MIN_BITS) -> list[tuple[int, int, int, int]]:
     """``(start, kind, end, start of the value)`` by start, then kind; values that a fixed span covers whole are not guessed."""
-    out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    low = text.lower()
+    assigns = ASSIGN.finditer(text) if any(w in low for w in ASSIGN_WORDS) else ()
+    out = [(m.start(), 0, m.end(), m.start(2)) for m in assigns if m.end(2) - m.start(2) >= 12]
     out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     # by start of the value: how far any span that starts there or before reaches
     fixed = sorted((v, e) for _, _, e, v in out)
     starts, reach = [v for v, _ in fixed], list(accumulate((e for _, e in fixed), max))
     added = []
-    for m in CONTEXT.finditer(text):
+    for m in CONTEXT.finditer(text) if any(w in low for w in CONTEXT_WORDS) else ():
         start, value = m.start(1), m.group(1).rstrip(".,;:!?)]}|")
         end, at = start + len(value), bisect_right(starts, start) - 1
         if len(value) >= 8 and not (at >= 0 and reach[at] >= end) and guess_bits(value, ranks, min_bits) >= min_bits:
