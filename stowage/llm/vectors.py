@@ -76,10 +76,12 @@ def distinct_vectors(df: DataFrame, id_col: str, vec_col: str, ids_kept: int) ->
 
 
 def sample_of(vectors: DataFrame, total: int, size: int, dimensions: int) -> np.ndarray:
-    """About ``size`` vectors of those of ``distinct_vectors`` (all, if fewer), by the hash of the vector: the same in every run."""
+    """About ``size`` vectors of those of ``distinct_vectors`` (all, if fewer), those of the least hashes: the same in every run."""
     share = max(1, -(-total // size))
-    rows = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec").limit(2 * size)
-    x = np.array([r.vec for r in rows.collect()], np.float64).reshape(-1, dimensions)
+    order = F.xxhash64(F.lit(1), "vec")
+    rows = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec", order.alias("at")).orderBy("at").limit(2 * size)
+    column = rows.select("vec").toArrow().column(0).combine_chunks()
+    x = matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, dimensions)
     return x[np.lexsort(x.T)] if len(x) else x
 
 

@@ -1,11 +1,12 @@
 """Range join and nearest neighbours against brute force."""
 
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
-from stowage.llm import components, postings, rangejoin
+from stowage.llm import components, postings, rangejoin, vectors
 
 
 def union_find(edges, nodes):
@@ -125,6 +126,51 @@ def test_search_small(spark):
     assert postings.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def uneven(rng, n, d, centers):
+    """Unit vectors, clustered if there are centers, and lengths that differ much."""
+    x = clustered(rng, n, d, centers, 0.06 * np.sqrt(d)) if centers else rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True), rng.lognormal(0, 0.5, size=(n, 1))
+
+
+@pytest.mark.parametrize(("centers", "even", "most"), [(0, True, 0.85), (150, True, 0.15), (0, False, 0.5), (150, False, 0.15)])
+def test_lists_are_balanced_and_pruned(centers, even, most):
+    """Whatever the lengths: no list holds three times the median, most lists go unread, and few neighbours are missed."""
+    rng = np.random.default_rng(9)
+    x, length = uneven(rng, 20_000, 64, centers)
+    x = (x if even else x * length).astype(np.float64)
+    index = postings.Index(x[rng.permutation(len(x))[:8192]], len(x) // postings.LIST)
+    posted = [h for k in range(0, len(x), 1024) for h in index.homes(x[k : k + 1024])]
+    flat, owner = np.concatenate(posted), np.repeat(np.arange(len(x)), [len(p) for p in posted])
+    sizes = np.bincount(flat, minlength=len(index.means))
+    assert sizes.max() <= 3 * np.median(sizes) and sizes.sum() <= 2 * len(x)
+    rows = []
+    for k in np.flatnonzero(sizes):
+        own = x[owner[flat == k]]
+        along, rest = index.along(own, np.full(len(own), k))
+        rows.append(SimpleNamespace(list=k, n=len(own), rest=rest.sum(), least=along.min(), most=along.max(), longest=np.linalg.norm(own, axis=1).max()))
+    index.measure(rows)
+    asks = rng.permutation(len(x))[:300]
+    s = x[asks] @ x.T
+    s[np.arange(300), asks] = -np.inf
+    first = index.reads(x[asks])
+    bars = np.array([np.sort(s[i, np.isin(np.arange(len(x)), owner[np.isin(flat, f)])])[-20] for i, f in enumerate(first)])
+    hit = read = 0
+    for i, (f, later) in enumerate(zip(first, index.reads(x[asks], bars), strict=True)):
+        lists = np.union1d(f, later)
+        known = np.unique(owner[np.isin(flat, lists)])
+        hit += np.isin(np.argsort(-s[i])[:20], known).sum()
+        read += sizes[lists].sum()
+    assert hit / 6000 >= 0.95 and read / sizes.sum() / 300 <= most
+
+
+def test_sample_is_the_same_in_every_run(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(3000, 4)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    one, two = (vectors.sample_of(vectors.distinct_vectors(df.repartition(k), "id", "v", 1), 3000, 400, 4) for k in (2, 7))
+    assert (one == two).all() and 300 < len(one) < 500
+
+
 def test_graph_search_is_nearly_exact():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(6000, 12))
