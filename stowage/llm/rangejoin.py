@@ -7,13 +7,22 @@ onto the line between the two pivots lies within r of their bisecting plane. A c
 partners of its own vectors, and cells are joined independently, in packs, by matrix products. Of two
 cells only one takes the other's vectors, by turns, and counts their links for both sides.
 
+The number of pivots grows with the vectors up to ``MOST_PIVOTS``, what a task can look through. A cell that
+is then still large is parted once more in the same way, by pivots of its own: those of its vectors know
+each other's parts by turns again, and vectors of other cells are known to every part that is not excluded.
+
 Copies of a vector are one row with a count. A cell's links are counted and never emitted; of a pair of
 packs only a spanning forest goes on, at most one edge a vector, to the connected components.
 
+Scale: cells are as many as vectors / ``CELL``, so that the work grows with the vectors times the cells that
+each is known to. That number is small where clusters lie apart. Where no pivot tells vectors apart, as on
+isotropic data at a radius like this one, it is half of all cells: an exact join then is a blocked
+comparison of all distinct vectors, halved.
+
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the
 table's commonest length, link with nothing (0 links, a component of their own); rows with a null id
 take no part either and have a null component; of repeated ids the rows count as vectors of their own
-and the id is one node; an empty table gives no rows.
+and the id is one node; an empty table gives no rows; columns other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +40,12 @@ from stowage.llm.vectors import dimensions_of, distinct_vectors, matrix, packs,
 from stowage.session import written
 
 COSINE = 0.9
-#: Vectors that a cell should hold, the number of pivots at most, and the sample that places them.
-CELL, MOST_PIVOTS, SAMPLE = 2048, 1024, 8192
+#: Vectors that a cell should hold, pivots at most, and the sample that places them: vectors a pivot, and vectors at least.
+CELL, MOST_PIVOTS, SAMPLE_A_PIVOT, SAMPLE = 2048, 8192, 8, 8192
+#: Cells of more than so many times ``CELL`` are parted; the parts of one at most.
+LARGE, MOST_PARTS = 4, 1024
+#: Pivots that are chosen far from each other; any more are taken from the sample in order.
+FAR = 1024
 EPS = 1e-9
 
 
@@ -46,12 +59,15 @@ def place_pivots(sample: np.ndarray, count: int, steps: int = 8) -> np.ndarray:
     u = _unit(sample)
     chosen = [0]
     near = ((u - u[0]) ** 2).sum(1)
-    while len(chosen) < min(count, len(u)) and near.max() > EPS:
+    while len(chosen) < min(count, FAR, len(u)) and near.max() > EPS:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((u - u[chosen[-1]]) ** 2).sum(1))
+    if len(chosen) == FAR < count:
+        rest = np.setdiff1d(np.arange(len(u)), chosen)
+        chosen += rest[:: max(1, len(rest) // (count - FAR))][: count - FAR].tolist()
     p = u[chosen]
     for _ in range(steps):
-        home = (u @ p.T).argmax(1)
+        home = np.concatenate([(u[k : k + 1024] @ p.T).argmax(1) for k in range(0, len(u), 1024)])
         sums = np.zeros_like(p)
         np.add.at(sums, home, u)
         size = np.linalg.norm(sums, axis=1)
@@ -60,18 +76,21 @@ def place_pivots(sample: np.ndarray, count: int, steps: int = 8) -> np.ndarray:
     return p
 
 
-def cells_of(u: np.ndarray, pivots: np.ndarray, gaps: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(u: np.ndarray, pivots: np.ndarray, radius: float, turns: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Home cells, and which cells each unit vector must be known to, its own among them.
 
-    A pair of cells meets in the lower one if the sum of their numbers is odd, else in the higher one.
+    With ``turns`` a pair of cells meets in the lower one if the sum of their numbers is odd, else in the higher
+    one; without, the vectors are at home elsewhere and are known to every cell that may hold a partner.
     """
     d = np.sqrt(np.maximum(2 - 2 * u @ pivots.T, 0))
     home = d.argmin(1)
     near = d[np.arange(len(u)), home][:, None]
     close = d <= near + 2 * radius + EPS
-    close &= (d**2 - near**2) <= 2 * radius * gaps[home] + EPS
-    cell = np.arange(len(pivots))[None]
-    close &= (cell < home[:, None]) == ((cell + home[:, None]) % 2 == 1)
+    gaps = np.sqrt(np.maximum(2 - 2 * pivots[home] @ pivots.T, 0))
+    close &= (d**2 - near**2) <= 2 * radius * gaps + EPS
+    if turns:
+        cell = np.arange(len(pivots))[None]
+        close &= (cell < home[:, None]) == ((cell + home[:, None]) % 2 == 1)
     close[np.arange(len(u)), home] = True
     return home, close
 
@@ -122,6 +141,47 @@ def _join(dimensions: int, cosine: float):
     return run
 
 
+def _parted(mine: DataFrame, theirs: DataFrame, large: DataFrame, payload: list[str], radius: float, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the ``large`` cells parted by pivots of their own: those of a bounded sample of each cell's vectors, farthest first.
+
+    Members come in packs, so that a cell's pivots are sent once for some hundred of them.
+    """
+    in_large = F.col("cell") == F.col("large")
+    chance = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 20)) < F.ceil(F.lit(1 << 20) * 4 * F.col("parts") / F.col("size"))
+    few = mine.join(large, in_large).where(chance).groupBy("large", "parts").agg(F.collect_list("vec").alias("sample"))
+
+    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = matrix(batch.column(2).slice(k, 1).flatten(), dimensions)
+                p = place_pivots(x[np.lexsort(x.T)], batch.column(1)[k].as_py(), 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([p.ravel()], pa.list_(pa.float64()))], ["of", "pivots"])
+
+    known = written(few.mapInArrow(pivots, "of long, pivots array<double>"), "parts")
+    rest = theirs.join(known, F.col("in_cell") == F.col("of"), "left_anti")
+    packed = packs(theirs.join(known, F.col("in_cell") == F.col("of"), "left_semi"), "in_cell", "members", payload).join(known, F.col("in_cell") == F.col("of"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell_at, members_at, pivots_at = (batch.schema.get_field_index(c) for c in ("in_cell", "members", "pivots"))
+            for k in range(batch.num_rows):
+                cell, rows = batch.column(cell_at)[k].as_py(), batch.column(members_at).slice(k, 1).flatten()
+                p = matrix(batch.column(pivots_at).slice(k, 1), dimensions)
+                u = _unit(matrix(rows.field("vec"), dimensions))
+                own = rows.field("home").to_numpy(zero_copy_only=False) == cell
+                home, close = cells_of(u, p, radius)
+                close[~own] = cells_of(u[~own], p, radius, turns=False)[1] if (~own).any() else False
+                at, part = np.nonzero(close)
+                homes = np.where(own, cell + home, rows.field("home").to_numpy(zero_copy_only=False))
+                cols = [rows.field(f).take(pa.array(at)) if f != "home" else pa.array(homes[at]) for f in payload]
+                yield pa.RecordBatch.from_arrays([pa.array(cell + part), *cols], ["in_cell", *payload])
+
+    kinds = ", ".join(f"{f} {mine.schema[f].dataType.simpleString()}" for f in payload)
+    parts = written(packed.mapInArrow(part, f"in_cell long, {kinds}"), "parted")
+    mine = mine.join(known, F.col("cell") == F.col("of"), "left_anti").unionByName(parts.where("in_cell = home").withColumnRenamed("in_cell", "cell"))
+    return mine, rest.unionByName(parts)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row."""
     own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
@@ -133,27 +193,34 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return rest.withColumnRenamed("id", id_col)
     vectors = distinct_vectors(own.where(fit), "id", "v", 1).select("key", F.col("ids")[0].alias("rep"), "n", "vec")
     total = vectors.count()
-    pivots = place_pivots(sample_of(vectors, total, SAMPLE, dim), min(MOST_PIVOTS, max(1, total // CELL)))
-    if not len(pivots):
-        pivots = np.eye(1, dim)
+    count = min(MOST_PIVOTS, max(1, total // CELL))
+    pivots = place_pivots(sample_of(vectors, total, max(SAMPLE, SAMPLE_A_PIVOT * count), dim), count) if total else np.eye(1, dim)
     radius = sqrt(max(0.0, 2 - 2 * cosine))
-    gaps = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    known = vectors.sparkSession.sparkContext.broadcast((pivots, gaps))
+    known = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, g = known.value
+        p = known.value
+        step = max(16, min(4096, (1 << 21) // len(p)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                home, close = cells_of(_unit(matrix(part.column(3), dim)), p, g, radius)
-                cells = pa.array([np.flatnonzero(c) for c in close], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), cells], [*part.schema.names, "home", "cells"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                home, close = cells_of(_unit(matrix(part.column(3), dim)), p, radius)
+                cells = pa.array([np.flatnonzero(c) for c in close], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int64)), cells], [*part.schema.names, "home", "cells"])
 
     vec_type = vectors.schema["vec"].dataType.simpleString()
-    placed = written(vectors.mapInArrow(assign, f"key long, rep long, n long, vec {vec_type}, home int, cells array<int>"), "placed")
+    placed = written(vectors.mapInArrow(assign, f"key long, rep long, n long, vec {vec_type}, home long, cells array<long>"), "placed")
     payload = ["key", "rep", "n", "home", "vec"]
-    mine = packs(placed.select(F.col("home").alias("cell"), *payload), "cell", "own", payload)
-    theirs = packs(placed.select(F.explode("cells").alias("in_cell"), *payload), "in_cell", "members", payload)
+    # a cell's number leaves room for those of its parts
+    whole = placed.select("key", "rep", "n", (F.col("home") * MOST_PARTS).alias("home"), "vec", F.transform("cells", lambda c: c * MOST_PARTS).alias("cells"))
+    mine = whole.select(F.col("home").alias("cell"), *payload)
+    theirs = whole.select(F.explode("cells").alias("in_cell"), *payload)
+    large = mine.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > LARGE * CELL)
+    large = written(large.select(F.col("cell").alias("large"), F.least(F.lit(MOST_PARTS), F.floor(F.col("size") / CELL)).cast("int").alias("parts"), "size"), "large")
+    if not large.isEmpty():
+        mine, theirs = _parted(mine, theirs, large, payload, radius, dim)
+    mine = packs(mine, "cell", "own", payload)
+    theirs = packs(theirs, "in_cell", "members", payload)
     found = written(mine.join(theirs, F.col("cell") == F.col("in_cell")).select("own", "members").mapInArrow(_join(dim, cosine), "a long, b long, n long"), "found")
     counts = found.where("n >= 0").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("n < 0"))

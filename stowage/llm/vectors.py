@@ -89,10 +89,10 @@ def packs(rows: DataFrame, key: str, name: str, payload: list[str], size: int =
     """Rows grouped by ``key`` into packs of about ``size``: ``key, name`` with ``name`` a list of the payload structs.
 
     Rows of a key are dealt over as many packs as its count needs, so no task gathers a large key. The
-    counts are a row a key; the callers bound the number of keys.
+    counts, a row a key, are written first, so that Spark sends them to all tasks only if they are small.
     """
     counts = rows.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     counts = written(counts, "counts")
-    dealt = rows.join(F.broadcast(counts), F.col(key) == F.col("of"))
+    dealt = rows.join(counts, F.col(key) == F.col("of"))
     part = F.pmod(F.xxhash64(F.lit(7), F.col(payload[0])), F.col("parts"))
     return dealt.groupBy(key, part.alias("part")).agg(F.collect_list(F.struct(*payload)).alias(name)).drop("part")

@@ -46,8 +46,11 @@ def clustered(rng, n, d, centers, noise):
 ODD = [None, [0.0] * 16, [1.0] * 15 + [None], [1.0] * 15 + [float("nan")], [1.0] * 15 + [float("inf")], [1.0, 2.0], []]
 
 
-def test_range_join(spark, monkeypatch):
-    monkeypatch.setattr(rangejoin, "CELL", 60)
+@pytest.mark.parametrize(("cell", "most", "large"), [(60, 8192, 4), (20, 4, 1), (20, 3, 3)])
+def test_range_join(spark, monkeypatch, cell, most, large):
+    monkeypatch.setattr(rangejoin, "CELL", cell)
+    monkeypatch.setattr(rangejoin, "MOST_PIVOTS", most)
+    monkeypatch.setattr(rangejoin, "LARGE", large)
     monkeypatch.setattr("stowage.llm.vectors.PACK", 40)
     rng = np.random.default_rng(7)
     x = clustered(rng, 500, 16, 12, 0.11)
@@ -77,9 +80,19 @@ def test_cells_know_all_partners():
     x = clustered(rng, 900, 8, 20, 0.2).astype(np.float64)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     p = rangejoin.place_pivots(x, 15)
-    home, close = rangejoin.cells_of(u, p, np.sqrt(np.maximum(2 - 2 * p @ p.T, 0)), np.sqrt(0.2))
+    home, close = rangejoin.cells_of(u, p, np.sqrt(0.2))
     a, b = np.nonzero(u @ u.T >= 0.9)
     assert (close[b, home[a]] | close[a, home[b]]).all() and close.mean() < 0.5
+    foreign = rangejoin.cells_of(u, p, np.sqrt(0.2), turns=False)[1]
+    assert foreign[b, home[a]].all() and foreign.mean() < 0.8
+
+
+def test_many_pivots(monkeypatch):
+    monkeypatch.setattr(rangejoin, "FAR", 10)
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    p = rangejoin.place_pivots(x, 50)
+    assert len(p) == 50 and len(np.unique(p, axis=0)) == 50
+    assert len(rangejoin.place_pivots(x[:7], 50)) == 7
 
 
 def brute(ids, x, k, asks):
