@@ -90,12 +90,58 @@ def test_near_copies_by_row(spark, tmp_path):
     assert got == Counter([(5, x), (3, y), (4, z), (4, z), (None, y), (None, None), (9, None)])
 
 
+CLASHES = ("copy", "hash", "component_id", "row", "position", "spans", "of", "size", "key", "range", "_file", "_row", "at")
+
+
 def test_stages_keep_columns(spark, tmp_path):
+    """Columns of any name come through, in order, empty tables too; the last stage has columns of its own."""
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(CLASHES)})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, _stored(spark, docs.limit(0), tmp_path / f"e{k}"), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if name != "encoding":
+            assert out.columns == empty.columns == docs.columns
+            docs = _stored(spark, out, tmp_path / f"o{k}")
+            assert docs.count() > 50 and {tuple(r) for r in docs.select(*CLASHES).distinct().collect()} == {tuple(range(len(CLASHES)))}
+        else:
+            assert out.columns == empty.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position"]
+            assert sorted(r.position for r in out.collect()) == list(range(docs.count()))
+
+
+def _stored(spark, df, path):
+    df.write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and very long texts, null and repeated ids, null sources and nulls elsewhere: each row goes where the stages' rules say."""
     tables(spark, tmp_path)
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("text", F.col("text"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs.limit(0), str(tmp_path))
-        assert out.columns == docs.columns and out.count() == 0
+    words = "the plain old morning went over to their garden and under one house without any trouble".split()
+    rng = random.Random(4)
+    prose = lambda n: ". ".join(" ".join(rng.choices(words, k=9)).capitalize() for _ in range(n)) + "."
+    long, same = prose(30_000), prose(8)
+    odd = [(900, None, None, None, None), (901, "", "en", None, 0), (None, None, "en", "s0", 0), (None, same, "en", "s1", None), (None, same, "en", "s1", None), (903, same, None, "s1", 5), (903, same, None, "s1", 5), (904, long, "en", None, len(long)), (905, same + " more words.", "en", "s2", 1)]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).union(spark.createDataFrame(odd, COLUMNS))
+    docs.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(tmp_path / "odd/labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted(r.position for r in got) == list(range(len(got)))
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(odd, COLUMNS), str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in kept) == Counter({None: 3, 900: 1, 901: 1, 903: 2, 904: 1})
+    hidden = corpus_pipeline.hide_secrets(spark, spark.createDataFrame(odd, COLUMNS), str(tmp_path)).collect()
+    assert sorted(map(str, hidden)) == sorted(str(r) for r in spark.createDataFrame(odd, COLUMNS).collect())
+    mixed = corpus_pipeline.mixture(spark, spark.createDataFrame(odd, COLUMNS), str(tmp_path)).collect()
+    assert [r.doc_id for r in mixed if not r.text] == [None, 900, 901] or {r.doc_id for r in mixed[-3:]} == {None, 900, 901}
+    assert spark.createDataFrame(odd, COLUMNS).count() == len(odd) and corpus_pipeline.quality(spark, spark.createDataFrame(odd, COLUMNS), str(tmp_path)).count() <= len(odd)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_registry():
