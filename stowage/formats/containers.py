@@ -153,7 +153,7 @@ def open_cab(data: bytes) -> Archive:
         folder, offset, size = places[k]
         if size > limit:
             raise ArchiveError("ZipBombSuspected", f"more than {limit} bytes")
-        if len(done.get(folder, b"")) < offset + size:
+        if folder not in done or len(done[folder]) < offset + size:
             if offset + size > READ_LIMIT:
                 raise ArchiveError("ZipBombSuspected", f"more than {READ_LIMIT} bytes up to the entry's end")
             done[folder] = unpacked(folder, offset + size)

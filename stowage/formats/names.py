@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 # The code pages looked at, in order of preference, with their Python codecs.
 CODEPAGES = {"Cp949": "cp949", "ShiftJis": "shift_jis", "Gbk": "gbk", "Big5": "big5"}
+LOCALES = {"ko": "Cp949", "ja": "ShiftJis", "zh": "Gbk", "zh_TW": "Big5", "zh_HK": "Big5", "zh_MO": "Big5"}
 
 
 @dataclass
@@ -35,26 +36,55 @@ def _points(codepage: str, text: str) -> int:
     return total
 
 
-def detect_codepage(names: list[RawName], override: str | None = None) -> str:
+def _common(codepage: str, raw: bytes) -> tuple[int, int]:
+    """How many of a name's characters beyond ASCII lie in the rows of a code page that everyday text is written in, and how many there are."""
+    common = total = at = 0
+    while at < len(raw):
+        lead = raw[at]
+        at += 1
+        if lead < 0x80:
+            continue
+        total += 1
+        if codepage == "ShiftJis" and 0xA1 <= lead <= 0xDF:  # half-width kana stand alone
+            continue
+        code = lead << 8 | (raw[at] if at < len(raw) else 0)
+        at += 1
+        low, high = code >> 8, code & 0xFF
+        common += {
+            "Cp949": 0xB0 <= low <= 0xC8 and high >= 0xA1,
+            "ShiftJis": 0x829F <= code <= 0x82F1 or 0x8340 <= code <= 0x8396 or 0x889F <= code <= 0x9872,
+            "Gbk": 0xB0 <= low <= 0xD7 and high >= 0xA1,
+            "Big5": 0xA440 <= code <= 0xC67E,
+        }[codepage]
+    return common, total
+
+
+def detect_codepage(names: list[RawName], override: str | None = None, locale: str | None = None) -> str:
     """``Utf8`` or a code page for the names that are no UTF-8, by the content of all of them.
 
-    No statistical detector and no locale: a code page that cannot decode a name is out, of the others the
-    most points win, the earlier one where they tie; without any point the names stay UTF-8.
+    A code page that cannot decode a name is out. Of the others the one wins in which most characters are common
+    ones; where several tie, the one with the most characters of its own script, then the earlier one. If in none
+    half of the characters are common, the code page of ``locale`` (as ``ko_KR``) is taken, or without one the script
+    alone decides; names without any such character stay UTF-8.
     """
     if override:
         return override
     odd = [n.raw for n in names if n.unicode_path is None and _utf8(n.raw) is None]
     if all(n.utf8_flag for n in names if n.unicode_path is None and _utf8(n.raw) is None):
         return "Utf8"
-    best, most = "Utf8", 0
-    for codepage, codec in CODEPAGES.items():
+    found = []
+    for place, (codepage, codec) in enumerate(CODEPAGES.items()):
         try:
             points = sum(_points(codepage, raw.decode(codec)) for raw in odd)
         except UnicodeDecodeError:
             continue
-        if points > most:
-            best, most = codepage, points
-    return best
+        counts = [_common(codepage, raw) for raw in odd]
+        share = sum(c for c, _ in counts) / max(1, sum(n for _, n in counts))
+        found.append((share if share >= 0.5 else 0.0, points, -place, codepage))
+    found = [f for f in found if f[1]]
+    if not any(f[0] for f in found) and locale and (page := LOCALES.get(locale.split(".")[0], LOCALES.get(locale[:2]))):
+        return page
+    return max(found)[3] if found else "Utf8"
 
 
 def decode_name(name: RawName, codepage: str) -> str:

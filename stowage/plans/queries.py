@@ -41,10 +41,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from stowage.plans import more  # noqa: F401, it adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from stowage.plans import more  # noqa: F401
+
     return dict(ORACLE)
 
 

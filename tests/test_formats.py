@@ -171,6 +171,21 @@ def test_legacy_names():
 # -- damaged ZIPs --------------------------------------------------------------------------------
 
 
+def test_codepages():
+    """Names in old code pages are told apart by how common their characters are there; ties and doubt go by script, then locale."""
+    from stowage.formats.names import RawName, decode_names, detect_codepage
+
+    for text, codec, page in (
+        ("새 폴더/사진 모음.txt", "cp949", "Cp949"), ("ふりがな.txt", "shift_jis", "ShiftJis"), ("新しいフォルダー/写真.txt", "shift_jis", "ShiftJis"),
+        ("中文目录/照片.txt", "gbk", "Gbk"), ("新建文件夹.txt", "gbk", "Gbk"), ("新資料夾/照片.txt", "big5", "Big5"),
+    ):
+        names, found = decode_names([RawName(text.encode(codec)), RawName(b"plain")])
+        assert (names, found) == ([text, "plain"], page), text
+    rare = RawName(b"\x94\xee")
+    assert detect_codepage([rare], locale="ja_JP.UTF-8") in ("ShiftJis", "Cp949") and detect_codepage([rare], "Big5") == "Big5"
+    assert detect_codepage([RawName(b"\xff\xfe")]) == "Utf8" and detect_codepage([RawName("ü".encode())]) == "Utf8"
+
+
 def small_zip(n=4):
     return Wr.write_zip([Wr.Item(f"payload_{k}.bin", bytes([k]) * 1024) for k in range(n)])
 
