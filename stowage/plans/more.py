@@ -144,17 +144,17 @@ def sevenz_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- damaged, cut and joined ---------------------------------------------------------------------
 
-_SHAPE_SQL = f"with d as (select {ARCHIVE_SQL} as archive, (doc_id // {PER_ARCHIVE}) % 8 as s, doc_id, text from documents where strlen(text) > 0), t as (select archive, s, count(*) as n from d group by 1, 2)"
+_SHAPE_SQL = f"with d as (select {ARCHIVE_SQL} as archive, (doc_id // {PER_ARCHIVE}) % 8 as s, doc_id from documents), t as (select archive, s, count(*) as n from d group by 1, 2)"
 
 
 def _hurt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document archives, with a fault each by the turns of their numbers."""
-    whole = A.create(document_items(spark, sf_dir).where(F.octet_length("payload") > 0), "Zip")
+    whole = A.create(document_items(spark, sf_dir), "Zip")
     return _bytes(whole, lambda b, n: M.damaged(b, M.SHAPES[int(n.rsplit("-", 1)[1][:-4]) % len(M.SHAPES)]))
 
 
 @query(
-    f"{_SHAPE_SQL} select archive, n - case when s = 2 then 1 else 0 end as listed, n - case when s in (2, 3, 4) then 1 else 0 end as decoded, case when s in (0, 6) or s = 6 then case when s = 0 then 'zip' else 'zip-lenient' end else 'zip-lenient' end as backend from t where s <> 7 "
+    f"{_SHAPE_SQL} select archive, n - case when s = 2 then 1 else 0 end as listed, n - case when s in (2, 3, 4) then 1 else 0 end as decoded, case when s = 0 then 'zip' else 'zip-lenient' end as backend from t where s <> 7 "
     "union all select archive, 0, 0, null from t where s = 7"
 )
 def lenient_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
