@@ -12,7 +12,7 @@ from stowage.session import table
 
 
 def op1_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrank.judge(table(spark, sf_dir, "pages"))
+    return hostrank.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
