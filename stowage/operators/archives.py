@@ -523,7 +523,7 @@ def save(archives: DataFrame, dest: str, path_col: str = "path", content_col: st
 
 
 def source_tree(spark: SparkSession, root: str, archive: str, prefix: str = "") -> DataFrame:
-    """Items of ``create`` from the files below a folder, in order of their paths; payloads are read by Spark's reader.
+    """Items of ``create`` from the folders and files below a folder, in order of their paths; payloads are read by Spark's reader.
 
     Only paths are put in order, by ranges; each payload joins its place by path.
     """
@@ -534,16 +534,22 @@ def source_tree(spark: SparkSession, root: str, archive: str, prefix: str = "")
     base = root if "://" in root or root.startswith("file:") else "file:" + root
     relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), "^" + _quoted(base.replace("file://", "").replace("file:", "").rstrip("/")) + "/*", "")
     name = entry_name(F.lit(prefix), relative)
-    ranged = written(files.select(F.col("path").alias("_file"), name.alias("_name")).repartitionByRange("_name").withColumn("_part", F.spark_partition_id()), "names")
+    # folders first, as far as they hold files: Spark lists no empty ones
+    parts = F.split(relative, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = files.where(F.size(parts) > 1).select(F.explode(above).alias("_folder")).distinct()
+    folders = folders.select(F.lit(None).cast("string").alias("_file"), F.concat(entry_name(F.lit(prefix), F.col("_folder")), F.lit("/")).alias("_name"))
+    both = folders.unionByName(files.select(F.col("path").alias("_file"), name.alias("_name"))).withColumn("_late", F.col("_file").isNotNull())
+    ranged = written(both.repartitionByRange("_late", "_name").withColumn("_part", F.spark_partition_id()), "names")
     starts, at = [], 0
     for r in ranged.groupBy("_part").count().orderBy("_part").collect():  # a row a range
         starts.append((r["_part"], at))
         at += r["count"]
     begins = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy("_name", "_file"))
-    places = ranged.join(begins, "_part").select("_file", (F.col("_start") + inside).alias("seq"))
-    rows = files.join(places, F.col("path") == F.col("_file"))
-    return rows.select(F.lit(archive).alias("archive"), name.alias("path"), F.col("content").alias("payload"), F.col("modificationTime").alias("modified"), F.lit(None).cast("int").alias("mode"), "seq")
+    inside = F.row_number().over(W.partitionBy("_part").orderBy("_late", "_name", "_file"))
+    places = ranged.join(begins, "_part").select("_file", "_name", (F.col("_start") + inside).alias("seq"))
+    rows = places.join(files.select(F.col("path").alias("_of"), "content", "modificationTime"), F.col("_of") == F.col("_file"), "left")
+    return rows.select(F.lit(archive).alias("archive"), F.col("_name").alias("path"), F.col("content").alias("payload"), F.col("modificationTime").alias("modified"), F.lit(None).cast("int").alias("mode"), "seq")
 
 
 def _quoted(text: str) -> str:

@@ -303,7 +303,35 @@ def test_save_and_tree(spark, tmp_path):
     saved = A.save(A.create(items).select("path", "content"), str(tmp_path / "out")).collect()
     assert [r.bytes for r in saved] == [os.path.getsize(tmp_path / "out/t.zip")]
     rows = src.read_archives(spark, str(tmp_path / "out"), content=True).collect()
-    assert {r.path: bytes(r.content) for r in rows} == {"pre/sub/a.txt": b"A", "pre/b.txt": b"B"}
+    assert [r.path for r in sorted(rows, key=lambda r: r.seq)] == ["pre/sub/", "pre/b.txt", "pre/sub/a.txt"]
+    assert {r.path: bytes(r.content) for r in rows if not r.is_directory} == {"pre/sub/a.txt": b"A", "pre/b.txt": b"B"}
+
+
+def test_verbs(spark, tmp_path):
+    """Create, list, test, extract, append, cut and batch, by their verbs; exit codes tell what went wrong."""
+    from stowage.cli import main
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.txt").write_bytes(b"A" * 5000)
+    (tmp_path / "in/b.txt").write_bytes(b"B")
+    (tmp_path / "lone.txt").write_bytes(b"L")
+    said: list[str] = []
+    run = lambda *args: (said.clear(), main(list(map(str, args)), spark, said.append))[1]
+    out = tmp_path / "out"
+    assert run("a", "-t", out / "x.zip", tmp_path / "in", tmp_path / "lone.txt") == 0 and "4 entries" not in said
+    assert run("l", out / "x.zip") == 0 and said[-1].endswith(": 4 entries, 5002 bytes, " + said[-1].rsplit(", ", 1)[1]) and any(x.endswith("  sub/a.txt") for x in said)
+    assert run("t", out / "x.zip") == 0 and "3 tested, 0 corrupted" in said[0]
+    assert run("x", "-o", tmp_path / "x", out / "x.zip") == 0 and (tmp_path / "x/x/sub/a.txt").read_bytes() == b"A" * 5000 and (tmp_path / "x/x/lone.txt").read_bytes() == b"L"
+    assert run("x", "-o", tmp_path / "x", out / "x.zip") == 3 and run("x", "--aos", "-o", tmp_path / "x", out / "x.zip") == 0 and run("-y", "x", "-o", tmp_path / "x", out / "x.zip") == 0
+    assert run("e", "-o", tmp_path / "flat", out / "x.zip") == 0 and (tmp_path / "flat/x/a.txt").exists()
+    (tmp_path / "in/c.txt").write_bytes(b"C")
+    assert run("a", out / "x.zip", tmp_path / "in") == 0 and "1 added, 3 there already" in said[0]
+    assert run("a", "-v", "1k", "--format", "tar", out / "v.tar", tmp_path / "in") == 0 and (out / "v.tar.002").exists()
+    assert run("a", "-p", "pw", "--storeroot", out / "s.7z", tmp_path / "in") == 0 and run("t", "-p", "pw", out / "s.7z") == 0
+    assert run("bc", tmp_path / "batch", tmp_path / "in") == 0 and sorted(os.listdir(tmp_path / "batch")) == ["b.zip", "c.zip", "sub.zip"]
+    (tmp_path / "bad.zip").write_bytes(b"PK\3\4 nothing")
+    assert run("bt", out / "x.zip", tmp_path / "bad.zip") == 5 and run("l", tmp_path / "bad.zip") == 5 and run("x", "-o", tmp_path / "y", tmp_path / "bad.zip") == 5
+    assert run("a", "--format", "rar", out / "r.rar", tmp_path / "in") == 8 and run("a", out / "n.zip") == 2 and run("nonsense") == 2
 
 
 def test_writer(spark, tmp_path):
