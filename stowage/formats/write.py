@@ -70,17 +70,33 @@ def probe_says_store(payload: bytes, level: int = 6) -> bool:
     return ratio is not None and ratio >= next(r for least, r in PROBE_RATIOS if len(payload) >= least)
 
 
+def stored_by_choice(item: Item, level: int, smart: bool = True) -> bool:
+    """Whether a payload is stored before anything is tried: if asked for, empty, or by name or probe of large payloads."""
+    if level == 0 or not item.payload:
+        return True
+    if smart and "." in item.path and item.path.rpartition(".")[2].lower() in INCOMPRESSIBLE:
+        return True
+    return smart and len(item.payload) >= PROBE_FROM and probe_says_store(item.payload, level)
+
+
+def deflated(payload: bytes, level: int) -> bytes | None:
+    """The payload deflated, null if that does not make it smaller."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    parts, size = [], 0
+    for k in range(0, len(payload), PROBE_BYTES):
+        parts.append(z.compress(payload[k : k + PROBE_BYTES]))
+        size += len(parts[-1])
+        if size >= len(payload):
+            return None
+    parts.append(z.flush())
+    return b"".join(parts) if size + len(parts[-1]) < len(payload) else None
+
+
 def zip_method(item: Item, level: int, smart: bool = True) -> int:
-    """Stored if asked for, by name, by probe of large payloads, or if deflating does not make it smaller."""
-    if level == 0 or item.payload is None or not item.payload:
-        return zipfile.ZIP_STORED
-    if smart and item.path.rpartition(".")[2].lower() in INCOMPRESSIBLE and "." in item.path:
-        return zipfile.ZIP_STORED
-    if smart and len(item.payload) >= PROBE_FROM and probe_says_store(item.payload, level):
+    """Stored by choice, or if deflating does not make a payload smaller."""
+    if stored_by_choice(item, level, smart) or deflated(item.payload or b"", level) is None:
         return zipfile.ZIP_STORED
-    z = zlib.compressobj(level, zlib.DEFLATED, -15)
-    size = sum(len(z.compress(item.payload[k : k + PROBE_BYTES])) for k in range(0, len(item.payload), PROBE_BYTES)) + len(z.flush())
-    return zipfile.ZIP_DEFLATED if size < len(item.payload) else zipfile.ZIP_STORED
+    return zipfile.ZIP_DEFLATED
 
 
 def _info(item: Item, method: int) -> zipfile.ZipInfo:
@@ -93,6 +109,8 @@ def _info(item: Item, method: int) -> zipfile.ZipInfo:
 
 def write_zip(items: Iterable[Item], level: int = 6, kind: str = "Zip", smart: bool = True, onto: bytes | None = None) -> bytes:
     """A ZIP, or with kind Zipx one of bzip2; ``onto`` is an archive that is kept and continued."""
+    if kind == "Zip" and not onto:
+        return _plain_zip(items, level, smart)
     out = io.BytesIO(onto or b"")
     with zipfile.ZipFile(out, "a" if onto else "w", allowZip64=True) as z:
         for item in items:
@@ -104,6 +122,24 @@ def write_zip(items: Iterable[Item], level: int = 6, kind: str = "Zip", smart: b
     return out.getvalue()
 
 
+def _plain_zip(items: Iterable[Item], level: int, smart: bool) -> bytes:
+    """Each payload is deflated once, and stored if that was for nothing; the directory is the library's."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", allowZip64=True) as z:
+        for item in items:
+            payload = item.payload or b""
+            body = None if stored_by_choice(item, level, smart) else deflated(payload, min(max(level, 1), 9))
+            info = _info(item, zipfile.ZIP_STORED if body is None else zipfile.ZIP_DEFLATED)
+            info.CRC, info.file_size, info.compress_size = zlib.crc32(payload), len(payload), len(payload if body is None else body)
+            info.header_offset = out.tell()
+            out.write(info.FileHeader())
+            out.write(payload if body is None else body)
+            z.filelist.append(info)
+            z.NameToInfo[info.filename] = info
+            z.start_dir, z._didModify = out.tell(), True
+    return out.getvalue()
+
+
 def write_encrypted_zip(items: Iterable[Item], password: str, level: int = 6, salt=os.urandom) -> bytes:
     """AES-256 entries; directories stay plain."""
     body, directory, count = bytearray(), bytearray(), 0

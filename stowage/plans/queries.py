@@ -112,7 +112,7 @@ def _stream(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = {"gz": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "lzma": lambda b: lzma.compress(b, lzma.FORMAT_ALONE), "zst": zstandard.ZstdCompressor().compress, "lz4": lz4_frame}[suffix]
+        pack = {"gz": gzip.compress, "bz2": bz2.compress, "xz": lambda b: lzma.compress(b, preset=1), "lzma": lambda b: lzma.compress(b, lzma.FORMAT_ALONE, preset=1), "zst": zstandard.ZstdCompressor().compress, "lz4": lz4_frame}[suffix]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(b or b"") for b in batch.column(1).to_pylist()], pa.binary())], ["path", "content"])
 
