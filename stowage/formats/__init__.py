@@ -15,7 +15,7 @@ from stowage.formats.zip import open_zip
 
 __all__ = ["Archive", "ArchiveError", "Entry", "Ranged", "detect", "open_archive"]
 #: Formats whose readers take only what they need of a file; others are read whole.
-BY_PARTS = ("Zip", "Zipx", "Tar", "SevenZ")
+BY_PARTS = ("Zip", "Zipx", "SevenZ", *CODECS, *STREAMS)
 
 
 def open_archive(data: bytes | Ranged, path: str, password: str | None = None, kind: str | None = None) -> Archive:

@@ -3,28 +3,41 @@
 from __future__ import annotations
 
 import tarfile
+from bisect import bisect_left
 
 from stowage.errors import ArchiveError
-from stowage.formats.model import READ_LIMIT, Archive, Entry, need, unix_time
+from stowage.formats.model import Archive, Entry, need, unix_time
 from stowage.formats.names import RawName, decode_names
 from stowage.formats.ranged import STRETCH, as_file
-from stowage.formats.streams import bunzip2, gunzip, unlz4, unlzma, unxz, unzstd
+from stowage.formats.streams import PIECES, Decoded
 
-CODECS = {"Tar": None, "TarGz": gunzip, "TarBz2": bunzip2, "TarXz": unxz, "TarZst": unzstd, "TarLz4": unlz4}
+CODECS = {"Tar": None, "TarGz": "Gzip", "TarBz2": "Bzip2", "TarXz": "Xz", "TarZst": "Zstd", "TarLz4": "Lz4"}
+#: A compressed tar of up to so many bytes is decoded once and held; a larger one is read as a stream, again for each step back.
+HELD = 64 << 20
 
 
-def open_tar(data: bytes, path: str, kind: str, codepage: str | None = None, limit: int = READ_LIMIT) -> Archive:
-    """Entries up to the first end mark; a name ending ``.tlz`` means the old LZMA format.
+def _opened(data, path: str, kind: str):
+    """The tar's bytes, or a file of them."""
+    codec = "Lzma" if kind == "TarXz" and path.lower().endswith(".tlz") else CODECS[kind]
+    if codec is None:
+        return data
+    held = bytearray()
+    for piece in PIECES[codec](data):
+        held += piece
+        if len(held) > HELD:
+            return Decoded(lambda: PIECES[codec](data), len(data))
+    return bytes(held)
 
-    The stream is decoded once, bounded by ``limit``.
-    """
-    codec = unlzma if kind == "TarXz" and path.lower().endswith(".tlz") else CODECS[kind]
-    whole = codec(data, limit) if codec else data
+
+def open_tar(data: bytes, path: str, kind: str, codepage: str | None = None) -> Archive:
+    """Entries up to the first end mark; a name ending ``.tlz`` means the old LZMA format."""
+    whole = _opened(data, path, kind)
+    stream = isinstance(whole, Decoded)
     try:
-        tar = tarfile.open(fileobj=as_file(whole), mode="r:", encoding="utf-8", errors="surrogateescape")
+        tar = tarfile.open(fileobj=whole if stream else as_file(whole), mode="r:", encoding="utf-8", errors="surrogateescape")
         members = tar.getmembers()
     except tarfile.ReadError as e:
-        if str(e) in ("empty file", "file could not be opened successfully") and not any(whole[k : k + STRETCH].strip(b"\0") for k in range(0, len(whole), STRETCH)):
+        if str(e) in ("empty file", "file could not be opened successfully") and not stream and not any(whole[k : k + STRETCH].strip(b"\0") for k in range(0, len(whole), STRETCH)):
             members, tar = [], None
         else:
             raise ArchiveError("Io", f"tar: {e}") from e
@@ -38,12 +51,17 @@ def open_tar(data: bytes, path: str, kind: str, codepage: str | None = None, lim
         for name, m in zip(names, members, strict=True)
     ]
 
+    places: dict[str, list[int]] = {}
+    for k, m in enumerate(members):
+        places.setdefault(m.name, []).append(k)
+
     def read(k: int, most: int) -> bytes:
         m = members[k]
-        if m.islnk():  # an earlier entry of that name holds the bytes
-            for j in range(k - 1, -1, -1):
-                if members[j].name == m.linkname:
-                    return read(j, most)
+        if m.islnk():  # the last entry of that name before it holds the bytes
+            own = places.get(m.linkname, [])
+            j = bisect_left(own, k) - 1
+            if j >= 0:
+                return read(own[j], most)
             raise ArchiveError("EntryNotFound", f"link target not found: {m.linkname}", names[k])
         if not m.isreg():
             return b""

@@ -5,8 +5,8 @@ will do. A file is one row and one parse; its entries stream out in batches, and
 if asked for. An archive that cannot be opened is one row with ``seq`` -1 and its ``error``.
 
 ``read_archives(by_parts=True)`` and the data source open files in the tasks, through pyarrow's file systems: of
-ZIP, plain tar and 7z only the directory, the headers, and the entries that are asked for are read, so such files
-may have any size. Others are read whole, up to 2 GiB.
+ZIP, plain tar and 7z only the directory, the headers, and the entries that are asked for are read, and compressed
+streams and tars are decoded in pieces, so such files may have any size. Others are read whole, up to 2 GiB.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stowage.errors import KINDS, ArchiveError
-from stowage.formats import open_archive
+from stowage.formats import Ranged, open_archive
 from stowage.formats import streams as S
 from stowage.formats import write as Wr
 from stowage.formats.aes import cbc_decrypt, cbc_encrypt, encrypt, expand
@@ -134,6 +134,44 @@ def test_multi_member(suffix):
     assert payloads(open_archive(cut, f"x.tar.{suffix}")) == WANT
 
 
+@pytest.mark.parametrize("suffix", ["gz", "bz2", "xz", "zst", "lz4"])
+def test_large_tars_are_streams(suffix, monkeypatch):
+    """A tar that is not held is listed and read piece by piece, forwards and back, with the same rows; memory stays small."""
+    import zstandard
+
+    from stowage.formats import tar as T
+
+    items = [Wr.Item(f"f{k}", bytes([k]) * (400_000 + k)) for k in range(12)]
+    data = (PACKERS.get(suffix) or zstandard.ZstdCompressor().compress)(Wr.write_tar(items))
+    held = payloads(open_archive(data, f"x.tar.{suffix}"))
+    monkeypatch.setattr(T, "HELD", 100_000)
+    a = open_archive(Ranged(io.BytesIO(data)), f"x.tar.{suffix}")
+    assert payloads(a) == held == {i.path: i.payload for i in items}
+    assert a.read(11) == items[11].payload and a.read(2) == items[2].payload and a.read(3) == items[3].payload
+    with pytest.raises(ArchiveError) as e:
+        open_archive(data[:-40], f"x.tar.{suffix}").read(11)
+    assert e.value.kind in KINDS
+
+
+def test_streams_that_swell(monkeypatch):
+    """A compressed tar a thousand times its stream, from a gibibyte on, is a bomb, and takes no memory to be told."""
+    import tracemalloc
+
+    from stowage.formats import tar as T
+
+    monkeypatch.setattr(T, "HELD", 1 << 20)
+    info = tarfile.TarInfo("zeros")
+    info.size = 3 << 30
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    data = b"".join([z.compress(info.tobuf()), *(z.compress(bytes(1 << 24)) for _ in range(192)), z.compress(bytes(1024)), z.flush()])
+    tracemalloc.start()
+    with pytest.raises(ArchiveError) as e:
+        open_archive(data, "x.tar.gz")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert e.value.kind == "ZipBombSuspected" and peak < 24 << 20
+
+
 def test_lz4_matches():
     """A block with an overlapping match, by hand: four literals, then twelve bytes from two back."""
     block = bytes([0x48]) + b"abcd" + struct.pack("<H", 2) + bytes([0x50]) + b"vwxyz"
