@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import lru_cache
 
 import numpy as np
 
@@ -56,26 +57,31 @@ def expand(key: bytes) -> np.ndarray:
     return np.concatenate(words).reshape(-1, 16)
 
 
-def _mixed(s: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _columns(matrix: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    """For each row of a column its part of the mixed column, four bytes in one number, by the byte that stands there."""
+    return [np.ascontiguousarray(np.stack([TIMES[matrix[i, j]][of] for i in range(4)], 1)).view("<u4").ravel() for j in range(4)]
+
+
+SEAL, OPEN = _columns(MIX, BOX), _columns(UNMIX, np.arange(256))
+
+
+def _mixed(s: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     c = s.reshape(-1, 4, 4)
-    out = np.zeros_like(c)
-    for i in range(4):
-        for j in range(4):
-            out[:, :, i] ^= TIMES[m[i, j]][c[:, :, j]]
-    return out.reshape(-1, 16)
+    words = tables[0][c[:, :, 0]] ^ tables[1][c[:, :, 1]] ^ tables[2][c[:, :, 2]] ^ tables[3][c[:, :, 3]]
+    return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 16)
 
 
 def encrypt(blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     s = blocks ^ keys[0]
     for k in keys[1:-1]:
-        s = _mixed(BOX[s][:, SHIFT], MIX) ^ k
+        s = _mixed(s[:, SHIFT], SEAL) ^ k
     return BOX[s][:, SHIFT] ^ keys[-1]
 
 
 def decrypt(blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     s = blocks ^ keys[-1]
     for k in keys[-2:0:-1]:
-        s = _mixed(BACK[s[:, UNSHIFT]] ^ k, UNMIX)
+        s = _mixed(BACK[s[:, UNSHIFT]] ^ k, OPEN)
     return BACK[s[:, UNSHIFT]] ^ keys[0]
 
 
@@ -95,11 +101,23 @@ def cbc_decrypt(data: bytes, key: bytes, iv: bytes) -> bytes:
 
 
 def cbc_encrypt(data: bytes, key: bytes, iv: bytes) -> bytes:
-    keys, last, out = expand(key), np.frombuffer(iv, np.uint8).reshape(1, 16), []
-    for block in np.frombuffer(data + bytes(-len(data) % 16), np.uint8).reshape(-1, 1, 16):
-        last = encrypt(block ^ last, keys)
-        out.append(last)
-    return np.concatenate(out).tobytes() if out else b""
+    return cbc_encrypt_many([data], key, [iv])[0]
+
+
+def cbc_encrypt_many(data: list[bytes], key: bytes, ivs: list[bytes]) -> list[bytes]:
+    """Each of ``data``, filled up with zeros, as a chain of its own: chains go on in step, as a block waits for the one before."""
+    padded = [d + bytes(-len(d) % 16) for d in data]
+    sizes = np.array([len(p) // 16 for p in padded], np.int64)
+    starts, order = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable")
+    out = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, 16).copy()
+    last, keys = np.frombuffer(b"".join(ivs[k] for k in order), np.uint8).reshape(-1, 16), expand(key)
+    longest = -sizes[order]
+    for step in range(int(sizes.max(initial=0))):
+        live = int(np.searchsorted(longest, -step))
+        at = starts[order[:live]] + step
+        last = encrypt(out[at] ^ last[:live], keys)
+        out[at] = last
+    return [out[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def zip_keys(password: str, salt: bytes, bits: int) -> tuple[bytes, bytes, bytes]:
@@ -113,8 +131,9 @@ def zip_tag(key: bytes, data: bytes) -> bytes:
     return hmac.new(key, data, hashlib.sha1).digest()[:10]
 
 
+@lru_cache(maxsize=16)
 def sevenz_key(password: str, salt: bytes, power: int) -> bytes:
-    """SHA-256 over 2^power rounds of salt, password and counter."""
+    """SHA-256 over 2^power rounds of salt, password and counter; the blocks of an archive share it."""
     word = password.encode("utf-16-le")
     if power == 0x3F:
         return (salt + word + bytes(32))[:32]

@@ -313,18 +313,19 @@ def write_sevenz(files: list[tuple[str, bytes | None, int]], password: str | Non
     filters = [{"id": lzma.FILTER_LZMA2, "preset": level}]
     dictionary = next(b for b in range(41) if lzma2_dictionary(b) >= (1 << 20 if level < 2 else 8 << 20))
 
-    def block(payload: bytes) -> tuple[bytes, bytes, list[int]]:
-        packed = lzma.compress(payload, lzma.FORMAT_RAW, filters=filters)
+    def sealed(payloads: list[bytes]) -> list[tuple[bytes, bytes, list[int]]]:
+        """Each payload's block, its coders, and the sizes between them."""
+        packed = [lzma.compress(p, lzma.FORMAT_RAW, filters=filters) for p in payloads]
         coder = b"\x21\x21\x01" + bytes([dictionary])
         if not password:
-            return packed, b"\x01" + coder, [len(payload)]
-        iv = os.urandom(16)
-        sealed = aes.cbc_encrypt(packed, aes.sevenz_key(password, b"", power), iv)
-        lock = b"\x24" + AES + b"\x12" + bytes([power | 0x40, 0x0F]) + iv
-        return sealed, b"\x02" + coder + lock + b"\x00\x01", [len(payload), len(packed)]
+            return [(b, b"\x01" + coder, [len(p)]) for b, p in zip(packed, payloads, strict=True)]
+        ivs = [os.urandom(16) for _ in packed]
+        shut = aes.cbc_encrypt_many(packed, aes.sevenz_key(password, b"", power), ivs)
+        lock = b"\x24" + AES + b"\x12" + bytes([power | 0x40, 0x0F])
+        return [(c, b"\x02" + coder + lock + iv + b"\x00\x01", [len(p), len(b)]) for c, b, p, iv in zip(shut, packed, payloads, ivs, strict=True)]
 
     full = [(n, p, t) for n, p, t in files if p]
-    made = [block(p) for _, p, _ in full]
+    made = sealed([p for _, p, _ in full])
 
     def streams(start: int, blocks, crcs: list[int]) -> bytes:
         out = bytes([PACK]) + _number(start) + _number(len(blocks)) + bytes([SIZE]) + b"".join(_number(len(b[0])) for b in blocks) + b"\0"
@@ -346,8 +347,8 @@ def write_sevenz(files: list[tuple[str, bytes | None, int]], password: str | Non
     header += b"\0"
     packed = b"".join(b[0] for b in made)
     if password:
-        sealed = block(header)
-        header = bytes([ENCODED]) + streams(len(packed), [sealed], [zlib.crc32(header)])
-        packed += sealed[0]
+        own = sealed([header])
+        header = bytes([ENCODED]) + streams(len(packed), own, [zlib.crc32(header)])
+        packed += own[0][0]
     head = struct.pack("<QQI", len(packed), len(header), zlib.crc32(header))
     return MAGIC + b"\0\4" + struct.pack("<I", zlib.crc32(head)) + head + packed + header

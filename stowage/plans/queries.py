@@ -234,7 +234,7 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of the extensions of the names above those of packed data.
-_PACKED = "'gz', 'tgz', 'zip', 'jpg', 'xz', 'jar', 'zipx', '7z', 'rar', 'tbz2', 'lzma', 'lz4', 'bz2', 'zst', 'mp4', 'docx', 'png', 'heic'"
+_PACKED = "'gz', 'tgz', 'zip', 'jpg', 'xz', 'jar', '7z', 'rar', 'tbz2', 'lzma', 'lz4', 'bz2', 'zst', 'tzst', 'mp4', 'docx', 'png', 'heic', 'cab', 'img', 'iso', 'msi', 'pdf'"
 
 
 @query(f"with {NAMES_SQL} select o_orderkey, lower(regexp_extract(name, '\\.([^.]*)$', 1)) in ({_PACKED}) as stored from n")
