@@ -37,7 +37,7 @@ from stowage.session import written
 
 K = 20
 #: Vectors a list should hold, lists at most, and the sample that places them: rows a list, and rows at least.
-LIST, MOST_LISTS, SAMPLE_A_LIST, SAMPLE = 512, 16384, 16, 32768
+LIST, MOST_LISTS, SAMPLE_A_LIST, SAMPLE = 512, 16384, 16, 16384
 #: A vector goes to a second list if its centroid is at most so many times as far as the nearest one.
 CLOSE = 1.05
 #: Share of the mean beyond which a list is full, and below which its centroid goes.
@@ -176,20 +176,21 @@ class Halving:
 
 
 class Index:
-    """The fitted part: centroids with their graph, the halvings of full ones, and in ``measured`` form what each list's members are like."""
+    """The fitted part: centroids, the halvings of full ones, and once measured what each list's members are like, with the graph that queries search."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.graph = CentroidGraph(self._centroids(sample, lists))
-        home = self._nearest(sample, self.graph.c)
-        held, mean = np.bincount(home, minlength=len(self.graph.c)), len(sample) / lists
+        self.centroids = self._centroids(sample, lists)
+        self.sq = (self.centroids**2).sum(1)
+        home = self._nearest(sample, self.centroids)
+        held, mean = np.bincount(home, minlength=len(self.centroids)), len(sample) / lists
         close = np.zeros(len(held), np.int64)
         for k in range(0, len(sample), 1024) if len(held) > 1 else ():
-            ids, dist = self.graph.search(sample[k : k + 1024], 2, 32)
+            ids, dist = self._two_nearest(sample[k : k + 1024])
             np.add.at(close, ids[dist[:, 1] <= CLOSE * dist[:, 0], 1], 1)
         self.open = held + close <= CROWD * np.median(held + close)
         self.halvings, means = {}, []
         self.first = np.empty(len(held), np.int64)
-        for k, c in enumerate(self.graph.c):
+        for k, c in enumerate(self.centroids):
             self.first[k] = len(means)
             if held[k] > FULL * mean:
                 self.halvings[k] = Halving(sample[home == k], int(np.ceil(held[k] / mean)))
@@ -235,14 +236,23 @@ class Index:
                 out[own] += self.halvings[full].part(x[own])
         return out
 
+    def _two_nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest two centroids (or the only one) of each row, and their distances: all are looked at, as one product is cheaper than a search."""
+        d = self.sq - 2 * x @ self.centroids.T
+        ids = np.argpartition(d, 1, 1)[:, :2] if d.shape[1] > 2 else np.argsort(d, 1, kind="stable")
+        near = np.take_along_axis(d, ids, 1)
+        order = np.lexsort((ids, near), axis=1)
+        ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
+        return ids, np.sqrt(np.maximum(near + (x**2).sum(1)[:, None], 0))
+
     def homes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each vector lies in, one or two."""
-        ids, dist = self.graph.search(x, 2, 32)
+        ids, dist = self._two_nearest(x)
         one = self._leaf(x, ids[:, 0])
         if ids.shape[1] < 2:
             return [one[i : i + 1] for i in range(len(x))]
-        also = (ids[:, 1] >= 0) & self.open[ids[:, 1]] & (dist[:, 1] <= CLOSE * dist[:, 0])
-        two = self._leaf(x, np.maximum(ids[:, 1], 0))
+        also = self.open[ids[:, 1]] & (dist[:, 1] <= CLOSE * dist[:, 0])
+        two = self._leaf(x, ids[:, 1])
         return [np.array([a, b]) if c else np.array([a]) for a, b, c in zip(one.tolist(), two.tolist(), also.tolist(), strict=True)]
 
     def along(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,8 +357,10 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     dim = dimensions_of(own, "v")
     own = own.where(sound(F.col("v"), dim) & F.col("id").isNotNull())
     vectors = distinct_vectors(own, "id", "v", k + 1)
-    index = fit(vectors, vectors.count(), dim) if dim and not vectors.isEmpty() else None
+    total = vectors.count() if dim else 0
+    index = fit(vectors, total, dim) if total else None
     context = df.sparkSession.sparkContext
+    spread = max(context.defaultParallelism, total // 20_000)  # small rows, but much work for each
     if index is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vec_type = vectors.schema["vec"].dataType.simpleString()
@@ -393,7 +405,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     none = F.lit(float("-inf"))
     near = written(best_of(hits_of(reading.withColumn("bar", none))), "near")
     bars = near.where(F.col("at") == k + 1).select(F.col("q_key").alias("b_key"), F.col("score").alias("least"))
-    barred = reading.join(bars, F.col("key") == F.col("b_key"), "left").select(*payload, F.coalesce("least", none).alias("bar"), F.col("lists").alias("read"))
+    barred = reading.join(bars, F.col("key") == F.col("b_key"), "left").repartition(spread, "key").select(*payload, F.coalesce("least", none).alias("bar"), F.col("lists").alias("read"))
     later = barred.mapInArrow(lists(known, "reads", ratio=ratio), f"{schema}, bar double, read array<long>, lists array<long>")
     later = written(later.select(*payload, "bar", F.array_except("lists", "read").alias("lists")), "later")
     hits = written(best_of(near.drop("at").union(hits_of(later))), "hits")
