@@ -21,6 +21,8 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.memory import release
+from stowage.llm.memory import release, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 #: Failing words up to so many bytes are merged together, a step at a time; longer ones by a heap each.
 SHORT = 48
 #: Words of more bytes are cut one by one, as a step over all words would be taken for each of their bytes.
@@ -87,22 +89,20 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = dict(model["vocab"])
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = _byte_alphabet()
-        size = max([*self.vocab.values(), *self.special.values()]) + 1
+        size = max([*vocab.values(), *self.special.values()]) + 1
         self.token = [""] * size
-        for t, i in [*self.vocab.items(), *self.special.items()]:
+        for t, i in [*vocab.items(), *self.special.items()]:
             self.token[i] = t
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)  # when a token is made; -1: a base symbol
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         keys, ranks, makes = [], [], []
         for k, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.merges[x, y] = (k, z)
+            x, y, z = vocab[a], vocab[b], vocab[a + b]
             keys.append((x << 32) | y)
             ranks.append(k)
             makes.append(z)
@@ -112,7 +112,7 @@ class WordBpe:
         self.pair_key = np.array(keys, np.int64)[order]
         self.pair_rank = np.array(ranks, np.int64)[order]
         self.pair_makes = np.array(makes, np.int64)[order]
-        self._plant()
+        self._plant(vocab)
         self.reachable = self._reachable()
         self.ids: dict[str, bytes] = {}
         for t, i in self.special.items():
@@ -125,14 +125,15 @@ class WordBpe:
 
         self.any = regex.compile(rf"{tails}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.path, self.edges, self.lib = path, None, None
+        self.lib = None
+        self.rules = {**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
 
-    def _plant(self) -> None:
+    def _plant(self, vocab: dict[str, int]) -> None:
         """The vocabulary as a trie over bytes; a word's last byte counts as itself plus 256."""
         byte = {c: b for b, c in enumerate(self.bytes)}
         edges: dict[int, int] = {}
         ends = {0: -1}
-        for token, i in self.vocab.items():
+        for token, i in vocab.items():
             last = bool(self.suffix) and token.endswith(self.suffix) and len(token) > len(self.suffix)
             path = [byte[c] for c in (token[: -len(self.suffix)] if last else token)]
             path[-1] += 256 * last
@@ -144,7 +145,9 @@ class WordBpe:
         self.edge_to = np.array([edges[k] for k in self.edge_key.tolist()], np.int64)
         self.node_token = np.full(len(edges) + 1, -1, np.int64)
         self.node_token[list(ends)] = list(ends.values())
-        self.base = np.array([self.vocab[c] for c in self.bytes] + [self.vocab[c + self.suffix] for c in self.bytes], np.int64)
+        self.base = np.array([vocab[c] for c in self.bytes] + [vocab[c + self.suffix] for c in self.bytes], np.int64)
+        # the same tables for steps in plain Python, as numbers without objects
+        self.edges, self.pairs = array("q", self.edge_key.tobytes()), array("q", self.pair_key.tobytes())
 
     # -- compatibility ---------------------------------------------------------------------------
 
@@ -226,16 +229,18 @@ class WordBpe:
 
     def _cut_one(self, symbols: np.ndarray) -> list[int]:
         """As ``speculate``, for one long word."""
-        if self.edges is None:
-            self.edges = dict(zip(self.edge_key.tolist(), self.edge_to.tolist(), strict=True))
-        edges, ends, word = self.edges.get, self.node_token.tolist(), symbols.tolist()
+        edges, to_node, ends, word = self.edges, self.edge_to, self.node_token, symbols.tolist()
         out, at, n = [], 0, len(word)
         while at < n:
             node, here, best, to = 0, at, -1, at
-            while here < n and (node := edges((node << 9) | word[here], -1)) >= 0:
-                here += 1
+            while here < n:
+                key = (node << 9) | word[here]
+                e = bisect_left(edges, key)
+                if e == len(edges) or edges[e] != key:
+                    break
+                node, here = int(to_node[e]), here + 1
                 if ends[node] >= 0:
-                    best, to = ends[node], here
+                    best, to = int(ends[node]), here
             out.append(best)
             at = to
         return out
@@ -249,8 +254,11 @@ class WordBpe:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (m := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (m[0], i, j, ids[i], ids[j], m[1]))
+            if j < n:
+                key = (ids[i] << 32) | ids[j]
+                e = bisect_left(self.pairs, key)
+                if e < len(self.pairs) and self.pairs[e] == key:
+                    heapq.heappush(heap, (int(self.pair_rank[e]), i, j, ids[i], ids[j], int(self.pair_makes[e])))
 
         for i in range(n - 1):
             offer(i)
@@ -375,7 +383,7 @@ class WordBpe:
         if self.lib is None:
             from tokenizers import Tokenizer
 
-            self.lib = Tokenizer.from_file(self.path)
+            self.lib = Tokenizer.from_str(json.dumps(self.rules))  # its rules alone
         text = self.lib.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -420,6 +428,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.list_(pa.int32()))], names)
         release()
 
+    small_batches(docs)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -438,6 +447,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols, *part.columns[2:]], names)
         release()
 
+    small_batches(docs)
     return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 

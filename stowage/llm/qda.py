@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.memory import release, small_batches
 from stowage.session import written
 
 SHRINK, RIDGE = 0.2, 0.02
 THRESHOLD = 0.7
 REACH, BIN = 200.0, 0.25  # raw scores are cut at -REACH and REACH and binned in steps of BIN
+MANY_WORDS = 5000
 SYMBOLS = "#$%&*+<=>@[\\]^_`{|}~/"
 
 
@@ -37,6 +39,15 @@ def _logit(part: float, whole: float) -> float:
     return log((part + 0.5) / (max(whole - part, 0.0) + 0.5))
 
 
+def _neighbours(words: list[str], counts: Counter) -> tuple[int, int]:
+    """How many words stand behind their like, and how many different pairs of neighbours there are; of long texts by numbers, which take less memory."""
+    if len(words) < MANY_WORDS:
+        return sum(a == b for a, b in zip(words, words[1:], strict=False)), len(set(zip(words, words[1:], strict=False)))
+    number = {w: k for k, w in enumerate(counts)}
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    return int((at[1:] == at[:-1]).sum()), len(np.unique(at[:-1] * len(number) + at[1:]))
+
+
 def statistics(text: str) -> list[float]:
     """What a score may see: shape of words and lines, never language, source or id."""
     words = text.split()
@@ -45,13 +56,12 @@ def statistics(text: str) -> list[float]:
     lengths = [len(w) for w in words]
     mean = sum(lengths) / n if n else 0.0
     spread = sqrt(max(sum(x * x for x in lengths) / n - mean * mean, 0.0)) if n else 0.0
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    again, pairs = _neighbours(words, counts)
     lines = [x for x in text.split("\n") if x]
     upper = sum(map(str.isupper, words))
     ends = text.count(". ") + text.count(".\n") + text.endswith(".")
     symbols = sum(map(text.count, SYMBOLS))
     top = max(counts.values(), default=0)
-    pairs = len(set(zip(words, words[1:], strict=False)))
     letters = chars - text.count(" ") - text.count("\n")
     return [
         log1p(n),
@@ -106,7 +116,9 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for batch in batches:
             rows = [statistics(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "x"])
+        release()
 
+    small_batches(docs)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>")
 
 
@@ -209,5 +221,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 part = batch.slice(k, 1024)
                 x = np.array([statistics(t.as_py() or "") for t in part.column(at)])
                 yield part.filter(pa.array(model.score(x) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

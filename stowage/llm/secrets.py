@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.memory import release
+from stowage.llm.memory import release, small_batches
 from stowage.session import written
 
 #: Words in the dictionary at most (a fixed size; what is broadcast stays under 2 MB), and how often each must occur.
@@ -40,7 +40,7 @@ DICTIONARY, LEAST_COUNT = 30_000, 8
 #: Bits that the cheapest segmentation of a value must cost.
 MIN_BITS = 44.0
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 250_000
+FLUSH = 150_000
 #: Steps of the scale of word counts for each factor of e.
 STEPS_A_LOG = 64
 #: Letters of a dictionary word: what makes a run of letters a word, so that the dictionary's bytes are bounded.
@@ -231,6 +231,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY,
 
 
 def _scan(docs: DataFrame, names: list[str], schema: str, row, min_bits: float, ranks: dict[str, int] | None, text_col: str) -> DataFrame:
+    small_batches(docs)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text_col) if ranks is None else ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

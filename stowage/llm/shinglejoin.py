@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stowage.llm.components import components
-from stowage.llm.memory import release
+from stowage.llm.memory import release, small_batches
 from stowage.session import drop, written
 
 SIZE, PERCENT = 5, 75
@@ -368,6 +368,7 @@ def _least_in_prefix(small, large, percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
+    small_batches(docs)
     whole = written(_sketch(docs, id_col, text_col, size, percent, find_order(docs, text_col, size)), "whole")
     lists = written(_lists(whole.where("prefix is not null and id is not null")), "lists")
     sketch = written(whole.drop("prefix", "rare"), "sketch")

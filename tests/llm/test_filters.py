@@ -262,3 +262,36 @@ def test_model_matches_dense_densities():
     m = qda.Model(mu, np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in cov]), np.array([np.linalg.slogdet(c)[1] for c in cov]))
     dens = [-0.5 * np.einsum("ij,jk,ik->i", x - u, np.linalg.inv(c), x - u) - 0.5 * np.linalg.slogdet(c)[1] for u, c in zip(mu, cov, strict=True)]
     assert np.allclose(m.raw(x), dens[1] - dens[0])
+
+
+def test_fit_matches_plain_moments(spark):
+    """Means, shrunken covariances and their factors of the labelled rows outside the held-out fold, summed over tasks, equal those of plain arrays."""
+    rng = np.random.default_rng(6)
+    n, d = 300, qda.DIMENSIONS
+    x, y = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * 0.3, rng.integers(0, 2, n)
+    features = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame([(k, int(v), 1) for k, v in enumerate(y)] + [(1, None, 0)], "doc_id long, quality int, x int")
+    model = qda.fit(features, labels)
+    learn = np.array([zlib.crc32(str(k).encode()) % 4 != 2 for k in range(n)])
+    own = [x[learn & (y == k)] for k in (0, 1)]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(len(o) * c for o, c in zip(own, cov, strict=True)) / learn.sum()
+    for k in (0, 1):
+        shrunk = (1 - qda.RIDGE) * ((1 - qda.SHRINK) * cov[k] + qda.SHRINK * pooled) + qda.RIDGE * np.diag(np.diag(pooled)) + 1e-9 * np.eye(d)
+        assert np.allclose(model.means[k], own[k].mean(0)) and np.isclose(model.logdet[k], np.linalg.slogdet(shrunk)[1])
+        assert np.allclose(model.inverse[k].T @ model.inverse[k], np.linalg.inv(shrunk), rtol=1e-5, atol=1e-6)
+    scores = model.score(x)
+    assert ((scores >= 0) & (scores <= 1)).all() and (np.argsort(scores) == np.argsort(model.raw(x))).mean() > 0.9
+
+
+def test_statistics_of_long_texts(spark, monkeypatch):
+    """A text of many megabytes has statistics in linear time, and a score like any other."""
+    began = time.perf_counter()
+    long = prose(3) * 60_000
+    got = qda.classify(spark.createDataFrame([(1, long), (2, "x" * 3_000_000), (3, prose(3))], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len({r.score for r in got}) == 1 and time.perf_counter() - began < 90
+    monkeypatch.setattr(qda, "MANY_WORDS", 10**9)
+    plain = qda.statistics(long[:100_000])
+    monkeypatch.setattr(qda, "MANY_WORDS", 2)
+    assert plain == qda.statistics(long[:100_000])
+    assert np.isfinite(qda.statistics(long)).all() and np.isfinite(qda.statistics("x" * 100_000)).all()
