@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +72,10 @@ def timestamp_to_dos(ts: Column) -> Column:
 
 
 def filetime_seconds(ticks: Column) -> Column:
-    """Seconds since 1970 of a FILETIME, null before."""
-    s = F.floor(ticks / TICKS).cast("long") - FILETIME_UNIX
-    return F.when(s >= 0, s)
+    """Seconds since 1970 of a FILETIME, null before. Exact for ticks beyond 2^53, as long or as decimals without fraction."""
+    whole = ticks.cast("decimal(38,0)")
+    whole = F.when(whole < Decimal(TICKS << 63), F.call_function("div", ticks, F.lit(TICKS))).otherwise(F.floor(whole / TICKS).cast("long"))  # div wraps beyond a long; the cast is an error
+    return F.when(ticks >= FILETIME_UNIX * TICKS, whole - FILETIME_UNIX)
 
 
 def unix_mode(attributes: Column, host_os: Column) -> Column:

@@ -305,7 +305,7 @@ def dos_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, case when s >= 0 then s end as seconds from (select event_id, (event_id * 123456789012345) // 10000000 - 11644473600 as s from events)")
 def filetime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", V.filetime_seconds(F.col("event_id") * F.lit(123456789012345)).alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", V.filetime_seconds(F.col("event_id").cast("decimal(20,0)") * F.lit(123456789012345)).alias("seconds"))
 
 
 @query(

@@ -1,8 +1,11 @@
 """Column functions against tables of cases."""
 
 import datetime as dt
+from decimal import Decimal
 
+import duckdb
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from stowage.formats.sniff import detect as sniff
@@ -10,6 +13,7 @@ from stowage.functions import detect as D
 from stowage.functions import paths as P
 from stowage.functions import values as V
 from stowage.operators import archives as A
+from stowage.plans import queries as plans
 
 
 def ask(spark, cases, schema, *columns):
@@ -93,6 +97,26 @@ def test_times(spark):
     assert one(spark, [(116444736000000000,), (0,), (116444736010000000,)], "t long", V.filetime_seconds(F.col("t"))) == [0, None, 1]
 
 
+def test_large_filetimes(spark):
+    """Ticks beyond 2^53 are not rounded, those beyond 2^63 not refused."""
+    cases = [116444736009999999, 116444735999999999, 2**63 - 1, 2**64 - 1, 74710 * 123456789012345, 6_000_000 * 123456789012345, -(2**63), None]
+    got = one(spark, [(None if t is None else Decimal(t),) for t in cases], "t decimal(38,0)", V.filetime_seconds(F.col("t")))
+    assert got == [None if t is None or t < 116444736 * 10**9 else t // 10**7 - 11644473600 for t in cases]
+    with pytest.raises(ArithmeticException):  # seconds that no long holds do not wrap
+        one(spark, [(Decimal(10**30),)], "t decimal(38,0)", V.filetime_seconds(F.col("t")))
+
+
+def test_filetime_of_many_events(spark, tmp_path):
+    """Ids whose ticks are no 64-bit integer, which the SQL cannot hold either; the SQL over 128-bit integers is the measure."""
+    ids = [0, 943, 944, 74709, 74710, 99_999, 5_999_999, 10**11, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    sql = plans.oracle_sql()["filetime"].replace("(event_id * ", "(event_id::hugeint * ")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.queries()["filetime"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(sql).fetchall())) and len(got) == 9
+
+
 def test_modes(spark):
     cases = [(0o100644 << 16, "Windows", 0o644), (0o104755, "Unknown", 0o4755), (0o644, "Unix", 0o644), (0x20, "Windows", None), (0, "Unix", None), (0o10000, "Unix", 0), ((0o120777 << 16) | 0x20, "Unix", 0o777)]
     assert one(spark, [c[:2] for c in cases], "a long, h string", V.unix_mode(F.col("a"), F.col("h"))) == [c[2] for c in cases]
