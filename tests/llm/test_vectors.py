@@ -87,6 +87,55 @@ def test_cells_know_all_partners():
     assert foreign[b, home[a]].all() and foreign.mean() < 0.8
 
 
+@pytest.mark.parametrize("centers", [0, 30])
+def test_nothing_is_replicated(spark, monkeypatch, centers):
+    """However many cells there are, and whether or not pivots tell vectors apart, vectors are shuffled once."""
+    for name, value in {"CELL": 60, "SAMPLE": 200, "SAMPLE_A_PIVOT": 2}.items():
+        monkeypatch.setattr(rangejoin, name, value)
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 6000, 128, centers, 0.1) if centers else clustered(rng, 6000, 128, 1, 1e3)
+    x[50:2000:50] = x[7] + 0.01 * rng.normal(size=(39, 128)) / np.sqrt(128)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorList(True).apply(0).totalShuffleWrite()
+    got = {r.vec_id: r.n_links for r in rangejoin.near_duplicates(df).collect()}
+    shuffled = store.executorList(True).apply(0).totalShuffleWrite() - before
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert [got[k] for k in range(6000)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    assert shuffled < 2 * x.nbytes
+
+
+@pytest.mark.parametrize("groups", [1, 2, 3, 8, 9])
+def test_groups_meet_once(groups):
+    met = sorted(tuple(sorted((g, o))) for g in range(groups) for o in rangejoin.turns(g, groups))
+    assert met == [(a, b) for a in range(groups) for b in range(a, groups)]
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.3, -0.5])
+def test_blocks_lose_no_link(cosine):
+    """By every bound and with few axes: the links of two blocks, and of one, are those of a full product."""
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 600, 24, 6, 0.2).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = rangejoin.place_pivots(x, 5)
+    home = rangejoin._homes(x, p)[0]
+    n = rng.integers(1, 5, 600)
+    for axes in (rangejoin.axes_of(x, cosine), np.linalg.eigh(x.T @ x)[1][:, -2:], np.eye(24)):
+
+        def block(of):
+            angle = np.arccos(np.clip(x[of] @ p[home[of[0]]], -1, 1))
+            row = {"home": home[of[0]], "low": angle.min(), "high": angle.max(), "key": 0, "size": len(of), "reps": of.tobytes(), "counts": n[of].tobytes(), "vecs": x[of].tobytes(), "kind": "f8"}
+            return rangejoin.Block(row, 24, axes)
+
+        blocks = [block(np.flatnonzero(home == h)) for h in np.unique(home)]
+        edges = [(int(a), int(b)) for k, one in enumerate(blocks) for two in blocks[k:] for ends in rangejoin.links_of(one, two, p, cosine) for a, b in zip(*ends, strict=True)]
+        linked = x @ x.T >= cosine
+        np.fill_diagonal(linked, False)
+        for b in blocks:
+            assert (b.links == (linked @ n)[b.rep]).all()
+        assert union_find(edges, range(600)) == union_find(zip(*np.nonzero(linked), strict=True), range(600))
+
+
 def test_many_pivots(monkeypatch):
     monkeypatch.setattr(rangejoin, "FAR", 10)
     x = np.random.default_rng(3).normal(size=(400, 6))
